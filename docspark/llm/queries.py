@@ -8,13 +8,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import common, exact_dedup, packing, token_counts, token_files
+from docspark.llm import common, decontaminate, exact_dedup, jaccard_join, language_id, packing, token_counts, token_files, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_read(spark, sf_dir, "pages"), url_filter.by_labels())
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -29,9 +33,36 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    judged = toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+    return judged.select("doc_id", (~toxicity.learnable()).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_best_fit_packing, op4_exact_dedup, op5_token_files, op8_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE_SQL}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = language_id.held_out()
+    judged = language_id.identify(docs, language_id.train(docs.where(~held_out)))
+    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op2_url_filter, op3_best_fit_packing, op4_exact_dedup, op5_token_files, op6_ngram_jaccard,
+        op7_toxicity, op8_token_counts, op9_decontamination, op10_language_id,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.ORACLE_SQL, "op4_exact_dedup": exact_dedup.ORACLE_SQL, "op6_ngram_jaccard": jaccard_join.ORACLE_SQL}
