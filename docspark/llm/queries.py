@@ -8,13 +8,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import common, decontaminate, exact_dedup, jaccard_join, language_id, packing, token_counts, token_files, toxicity, url_filter
+from docspark.llm import common, decontaminate, exact_dedup, jaccard_join, language_id, packing, pii, token_counts, token_files, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_read(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, sf_dir, "pages"), url_filter.by_labels())
 
@@ -61,7 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_url_filter, op3_best_fit_packing, op4_exact_dedup, op5_token_files, op6_ngram_jaccard,
+        op1_pii, op2_url_filter, op3_best_fit_packing, op4_exact_dedup, op5_token_files, op6_ngram_jaccard,
         op7_toxicity, op8_token_counts, op9_decontamination, op10_language_id,
     )
 }
