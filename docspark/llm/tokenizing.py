@@ -1,9 +1,10 @@
 """Token ids of whole texts through the tokenizers library.
 
-Invented and natural prose repeats its words, so each distinct piece (a word with the white space
-before it) is encoded once by the library and its ids are kept in a bounded table. Piece borders
-are places where the vocabulary's own pre-tokenizer always cuts, so the joined ids equal those of
-the whole text.
+Prose repeats its words, so each distinct piece (a word with the white space before it) is looked up in a
+bounded table; only a new piece is encoded. Piece borders are places where the vocabulary's own
+pre-tokenizer always cuts, so the joined ids equal those of the whole text. A new piece of Latin-1
+characters is split by the same pattern here and its words go to the library's BPE model; any other
+piece, and one that may hold a special token, goes through the whole library.
 """
 
 from __future__ import annotations
@@ -16,21 +17,74 @@ from collections.abc import Iterator
 _SPACED = re.compile(r"\s*\S+|\s+")
 # Python counts these as white space, the tokenizers' patterns don't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-_BORDER = re.compile(r"(?<=\S)(?=\s)")
+_BORDER = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f])")
+_OTHER = re.compile("[^\x00-\xff]|<\\|")
 
+# The Latin-1 part of Unicode's letters, numbers and white space.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", " \t-\r\x85\xa0"
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+_KEEPS_SPACE = re.compile(f"{_ENDINGS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_DROPS_SPACE = re.compile(f"{_ENDINGS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a printable Latin-1 byte as itself and the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-class PieceEncoder:
-    """Encodes texts piece by piece.
 
-    ``drops_space`` is for vocabularies whose pre-tokenizer removes white space. At most
-    ``memo_limit`` pieces of up to 64 characters are kept, whatever the corpus holds.
+class _Pieces(dict):
+    """Ids of pieces and words; longer ones than 64 characters aren't kept.
+
+    When the table is full it becomes the older half: what is asked for again moves back, the rest goes.
     """
 
-    def __init__(self, path: str, drops_space: bool = False, memo_limit: int = 400_000, segment: int = 1 << 20):
+    def __init__(self, path: str, drops_space: bool):
         from tokenizers import Tokenizer
 
-        self.library, self.drops_space, self.memo_limit, self.segment = Tokenizer.from_file(path), drops_space, memo_limit, segment
-        self.memo: dict[str, bytes] = {}
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.library, self.drops_space, self.letters = Tokenizer.from_file(path), drops_space, _byte_letters()
+        self.tokenize = self.library.model.tokenize
+        self.packed = [array.array("I", [i]).tobytes() for i in range(self.library.get_vocab_size())]
+        self.cut = (_DROPS_SPACE if drops_space else _KEEPS_SPACE).findall
+
+    def whole(self, text: str) -> bytes:
+        return array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            if len(piece) > 64:
+                return self.whole(piece)
+            if ("<|" in piece) if piece.isascii() else _OTHER.search(piece):
+                ids = self.whole(piece)
+            else:
+                words = self.cut(piece.lower() if self.drops_space else piece)
+                if len(words) == 1 and words[0] == piece:
+                    letters = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
+                    packed = self.packed
+                    ids = b"".join([packed[t.id] for t in self.tokenize(letters)])
+                else:
+                    ids = b"".join(map(self.__getitem__, words))
+        self[piece] = ids
+        return ids
+
+    def turn(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
+
+class PieceEncoder:
+    """Encodes texts piece by piece.
+
+    ``drops_space`` is for lower-casing vocabularies whose pre-tokenizer removes white space. At most about
+    twice ``memo_limit`` pieces are kept, whatever the corpus holds.
+    """
+
+    def __init__(self, path: str, drops_space: bool = False, memo_limit: int = 300_000, segment: int = 1 << 20):
+        self.memo, self.drops_space, self.memo_limit, self.segment = _Pieces(path, drops_space), drops_space, memo_limit, segment
 
     def _segments(self, text: str) -> Iterator[str]:
         """Parts of a long text, cut between a word and the white space after it."""
@@ -40,34 +94,17 @@ class PieceEncoder:
             start = m.start()
         yield text[start:] if start else text
 
-    def _library_bytes(self, texts: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _segment_bytes(self, parts: list[str]) -> list[bytes]:
-        pieces = [None if _SEPARATORS.search(x) else x.split() if self.drops_space else _SPACED.findall(x) for x in parts]
-        if len(self.memo) > self.memo_limit:
-            self.memo.clear()
+    def _segment(self, text: str) -> bytes:
         memo = self.memo
-        new = list(set().union(*(p for p in pieces if p is not None)).difference(memo))
-        got = dict(zip(new, self._library_bytes(new), strict=True))
-        memo.update(got)
-        out = [self._library_bytes([x])[0] if p is None else b"".join(map(memo.__getitem__, p)) for x, p in zip(parts, pieces, strict=True)]
-        for p in new:
-            if len(p) > 64:
-                del memo[p]
-        return out
+        if len(memo) > self.memo_limit:
+            memo.turn()
+        if _SEPARATORS.search(text):
+            return memo.whole(text)
+        return b"".join(map(memo.__getitem__, text.split() if self.drops_space else _SPACED.findall(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        out, small = [b""] * len(texts), []
-        for i, x in enumerate(texts):
-            if len(x) <= self.segment:
-                small.append(i)
-            else:
-                out[i] = b"".join(self._segment_bytes([s])[0] for s in self._segments(x))
-        for i, b in zip(small, self._segment_bytes([texts[i] for i in small]), strict=True):
-            out[i] = b
-        return out
+        return [self._segment(x) if len(x) <= self.segment else b"".join(map(self._segment, self._segments(x))) for x in texts]
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
