@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.operators import layout, products, records
+from docspark.operators import layout, normalise, products, records
 from docspark.plans import tables
 
 FIELDS = (records.Field("first", ("click",), r"\d+,\d{2}"), records.Field("second", ("purchase",), r"\d+,\d{2}", 60.0, y_max=2000.0))
@@ -39,6 +39,29 @@ def litres_of_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.litres_of_tokens(t.select("doc_id", (F.col("l_linenumber") * 2 + F.col("t.i")).alias("seq"), F.lit(1).alias("page"), "t.x", "y", "t.text"))
 
 
+def _raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their line items as raw text cells; some quantities and prices are misplaced."""
+    li = tables.read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_extendedprice").alias("p"))
+    n, q = F.col("l_linenumber"), F.concat(F.col("q").cast("bigint").cast("string"), F.lit(",0000"))
+    cells = {
+        "codigo": F.when(n == 5, "P15 DADOS").otherwise("P15"), "descricao": F.lit("adubo"), "ncm": F.lit("31042090"), "origem_cst": F.lit("0/20"), "cfop": F.when(n == 6, "5102 x").otherwise("5102"),
+        "unidade": F.when(n == 1, F.concat(F.lit("TON "), q)).otherwise("TON"), "quantidade": F.when(n != 1, q), "valor_unitario": F.when(n != 2, "10,00"), "desconto": F.when(n == 2, "150,00"),
+        "valor_total": F.when(n == 3, "abc").when(n == 4, F.concat(F.lit("1 "), tables.brazilian(F.col("p")))).otherwise(tables.brazilian(F.col("p"))), "bc_icms": F.lit(None), "valor_icms": F.lit(""), "valor_ipi": F.lit("0,00"), "aliquota": F.when(n == 7, "150,00").otherwise("12,00"),
+    }
+    item = F.struct(*[cells[f].cast("string").alias(f) for f in (*normalise.TEXT_FIELDS, *normalise.ITEM_FIELDS)])
+    notes = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", item.alias("i")))).alias("x"))
+    return notes.select(F.col("l_orderkey").cast("string").alias("chave_de_acesso"), F.lit("f").alias("arquivo"), F.lit("1.000,00").alias("valor_da_nota"), F.lit("").alias("peso_bruto"), F.lit("x").alias("peso_liquido"), F.transform("x", lambda v: v["i"]).alias("produtos"))
+
+
+def normalise_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalise.normalise(_raw_records(spark, sf_dir))[1].groupBy("campo", "estado").agg(F.count("*").alias("n"))
+
+
+def normalised_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = normalise.normalise(_raw_records(spark, sf_dir))[0].select("chave_de_acesso", F.posexplode("produtos").alias("pos", "p"))
+    return typed.select("chave_de_acesso", "pos", "p.codigo", "p.cfop", "p.unidade", "p.quantidade", "p.valor_unitario", "p.desconto", F.round("p.valor_total", 2).alias("valor_total"), "p.aliquota")
+
+
 _FIELD = """SELECT l.doc_id, '{n}' AS field, regexp_extract(t.text, '[0-9]+,[0-9]{{{{2}}}}') AS value FROM
     (SELECT doc_id, seq, x, y FROM tokens WHERE contains(lower(text), '{label}') AND y <= {top} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq) = 1) l
     JOIN tokens t ON t.doc_id = l.doc_id WHERE t.seq <> l.seq AND t.y <= {top} AND regexp_matches(t.text, '[0-9]+,[0-9]{{{{2}}}}') AND (abs(t.x - l.x) <= 60 AND abs(t.y - l.y) <= {m} + 25 OR abs(t.y - l.y) <= {m} AND t.x - l.x BETWEEN 10 AND 900)
@@ -48,6 +71,15 @@ ORACLE_SQL = {
         SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INT) AS product, 'AB' || CAST(k % 900 + 100 AS VARCHAR) AS codigo, '31042090' AS ncm, '5102' AS cfop, 'TN' AS unidade,
         'adubo fino' AS descricao, q AS quantidade, (k % 90 + 10) * 1.25::DOUBLE AS valor_unitario, round(q * (k % 90 + 10) * 1.25::DOUBLE, 2) AS valor_total FROM li""",
     "record_fields": f"WITH {tables.TOKENS_SQL}, a AS ({_FIELD.format(n='first', label='click', top=99999, m=45)}), b AS ({_FIELD.format(n='second', label='purchase', top=2000, m=60)}) FROM a UNION ALL FROM b",
+    "normalise_records": """WITH li AS (SELECT l_orderkey, l_linenumber AS n FROM lineitem GROUP BY 1, 2), o AS (SELECT DISTINCT l_orderkey FROM lineitem), a AS (
+        SELECT unnest(['valor_da_nota', 'peso_bruto', 'peso_liquido']) AS campo, unnest(['ok', 'vacio', 'no_parseable']) AS estado FROM o UNION ALL
+        SELECT unnest(['quantidade', 'valor_unitario', 'desconto', 'valor_total', 'bc_icms', 'valor_icms', 'valor_ipi', 'aliquota']),
+            unnest([CASE WHEN n = 1 THEN 'vacio' ELSE 'ok' END, CASE WHEN n = 2 THEN 'vacio' ELSE 'ok' END, CASE WHEN n = 2 THEN 'ok' ELSE 'vacio' END, CASE n WHEN 3 THEN 'no_parseable' WHEN 4 THEN 'limpio' ELSE 'ok' END, 'vacio', 'vacio', 'ok', CASE WHEN n = 7 THEN 'fuera_rango' ELSE 'ok' END]) FROM li UNION ALL
+        SELECT unnest(['quantidade', 'unidade']), unnest(['recuperado', 'limpio']) FROM li WHERE n = 1 UNION ALL SELECT 'valor_unitario', 'reubicado' FROM li WHERE n = 2 UNION ALL
+        SELECT CASE n WHEN 5 THEN 'codigo' ELSE 'cfop' END, 'limpio' FROM li WHERE n IN (5, 6)) SELECT campo, estado, count(*) AS n FROM a GROUP BY 1, 2""",
+    "normalised_items": """WITH li AS (SELECT l_orderkey, l_linenumber AS n, min(l_quantity) AS q, min(l_extendedprice) AS p FROM lineitem GROUP BY 1, 2)
+        SELECT CAST(l_orderkey AS VARCHAR) AS chave_de_acesso, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY n) - 1 AS INT) AS pos, 'P15' AS codigo, '5102' AS cfop, 'TON' AS unidade, q AS quantidade, CASE WHEN n = 2 THEN 150.0::DOUBLE ELSE 10.0::DOUBLE END AS valor_unitario, CAST(NULL AS DOUBLE) AS desconto,
+        CASE WHEN n = 3 THEN NULL ELSE round(p, 2) END AS valor_total, CASE WHEN n = 7 THEN NULL ELSE 12.0::DOUBLE END AS aliquota FROM li""",
     "litres_of_tokens": "SELECT l_orderkey AS doc_id, sum(q + 0.5) AS volume_litros FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2) WHERE l_linenumber % 2 = 0 GROUP BY 1",
 }
-QUERIES = {f.__name__: f for f in (content_products, record_fields, litres_of_tokens)}
+QUERIES = {f.__name__: f for f in (content_products, record_fields, normalise_records, normalised_items, litres_of_tokens)}
