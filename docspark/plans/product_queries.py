@@ -27,6 +27,29 @@ def content_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", F.col("product").cast("int").alias("product"), "item.codigo", "item.ncm", "item.cfop", "item.unidade", "item.descricao", F.round("item.quantidade", 3).alias("quantidade"), F.round("item.valor_unitario", 3).alias("valor_unitario"), F.round("item.valor_total", 2).alias("valor_total"))
 
 
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``_tokens`` with single-cell columns, a header above and no line of words that opens a product."""
+    li = tables.read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"), F.min("l_quantity").alias("q"))
+    heads = [("COD. PRODUTO", 100.0), ("DESCRICAO DO PRODUTO", 500.0), ("NCM/SH", 900.0), ("QTDE", 1300.0)]
+    n = F.col("l_linenumber")
+    cells = [(110.0, F.concat(F.lit("AB"), F.col("k").cast("string"))), (480.0, F.concat(F.lit("adubo "), n.cast("string"))), (905.0, F.lit("31042090")), (1290.0, F.concat(F.col("q").cast("bigint").cast("string"), F.lit(",0000")))]
+    row = [F.struct(F.lit(x).alias("x"), (n * 100.0).alias("y"), (n * 10 + i).alias("seq"), c.alias("text")) for i, (x, c) in enumerate(cells)]
+    more = F.struct(F.lit(490.0).alias("x"), (n * 100.0 + 50).alias("y"), (n * 10 + 5).alias("seq"), F.lit("fino").alias("text"))
+    body = li.select(F.col("l_orderkey").alias("doc_id"), F.explode(F.array(*row, more)).alias("t")).select("doc_id", "t.*")
+    top = li.select(F.col("l_orderkey").alias("doc_id")).distinct().select("doc_id", F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(10.0).alias("y"), F.lit(i).alias("seq"), F.lit(t).alias("text")) for i, (t, x) in enumerate(heads)])).alias("t")).select("doc_id", "t.*")
+    return body.unionByName(top).withColumn("page", F.lit(1))
+
+
+def header_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = products.header_products(_table(spark, sf_dir))
+    return p.select("doc_id", F.col("product").cast("int").alias("product"), "codigo", "descricao", "ncm", "quantidade")
+
+
+def product_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir)
+    return products.choose(products.header_products(t), products.content_products(t))
+
+
 def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.field_values(tables.event_tokens(spark, sf_dir), FIELDS)
 
@@ -70,6 +93,9 @@ ORACLE_SQL = {
     "content_products": """WITH li AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS k, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
         SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INT) AS product, 'AB' || CAST(k % 900 + 100 AS VARCHAR) AS codigo, '31042090' AS ncm, '5102' AS cfop, 'TN' AS unidade,
         'adubo fino' AS descricao, q AS quantidade, (k % 90 + 10) * 1.25::DOUBLE AS valor_unitario, round(q * (k % 90 + 10) * 1.25::DOUBLE, 2) AS valor_total FROM li""",
+    "header_products": """WITH li AS (SELECT l_orderkey, l_linenumber AS n, min(l_partkey) AS k, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
+        SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS INT) AS product, 'AB' || CAST(k AS VARCHAR) AS codigo, 'adubo ' || CAST(n AS VARCHAR) || ' fino' AS descricao, '31042090' AS ncm, CAST(CAST(q AS BIGINT) AS VARCHAR) || ',0000' AS quantidade FROM li""",
+    "product_source": "SELECT DISTINCT l_orderkey AS doc_id, true AS by_content FROM lineitem",
     "record_fields": f"WITH {tables.TOKENS_SQL}, a AS ({_FIELD.format(n='first', label='click', top=99999, m=45)}), b AS ({_FIELD.format(n='second', label='purchase', top=2000, m=60)}) FROM a UNION ALL FROM b",
     "normalise_records": """WITH li AS (SELECT l_orderkey, l_linenumber AS n FROM lineitem GROUP BY 1, 2), o AS (SELECT DISTINCT l_orderkey FROM lineitem), a AS (
         SELECT unnest(['valor_da_nota', 'peso_bruto', 'peso_liquido']) AS campo, unnest(['ok', 'vacio', 'no_parseable']) AS estado FROM o UNION ALL
@@ -82,4 +108,4 @@ ORACLE_SQL = {
         CASE WHEN n = 3 THEN NULL ELSE round(p, 2) END AS valor_total, CASE WHEN n = 7 THEN NULL ELSE 12.0::DOUBLE END AS aliquota FROM li""",
     "litres_of_tokens": "SELECT l_orderkey AS doc_id, sum(q + 0.5) AS volume_litros FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2) WHERE l_linenumber % 2 = 0 GROUP BY 1",
 }
-QUERIES = {f.__name__: f for f in (content_products, record_fields, normalise_records, normalised_items, litres_of_tokens)}
+QUERIES = {f.__name__: f for f in (content_products, header_products, product_source, record_fields, normalise_records, normalised_items, litres_of_tokens)}
