@@ -5,16 +5,16 @@ any text that holds the item. Exact piece hits come from one automaton, and the
 hit are verified with Myers' bit-parallel edit distance.
 """
 
-from __future__ import annotations
-
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm import common
+from docspark.packaging import ship
 
 ERROR_RATE = 0.05
 BLOCK_ITEMS = 20_000
@@ -132,17 +132,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
     pass over the documents for each; there is no shuffle of documents.
     """
     rows = common.texts(docs, id_col, text_col)
-    spark = rows.sparkSession
+    out = None
+    for sent in _blocks(benchmark, item_col, item_text_col):
+        hits = rows.mapInArrow(_search(sent, error_rate), SCHEMA)
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def _blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> Iterator:
+    """Broadcast blocks of test items, each of bounded size."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("item")).where("item is not null").distinct()
     count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("item")), F.lit(0))).first()
     blocks = max(1, -(-count // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
-    out = None
     for b in range(blocks):
         held = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == b).collect()]
-        sent = spark.sparkContext.broadcast(held)
-        hits = rows.mapInArrow(_search(sent, error_rate), SCHEMA)
-        out = hits if out is None else out.unionByName(hits)
-    return out
+        yield benchmark.sparkSession.sparkContext.broadcast(held)
+
+
+def holds_item(benchmark: DataFrame, text: Column, error_rate: float = ERROR_RATE) -> Column:
+    """Whether a text holds a test item, as a column: filters keep whole rows without a join."""
+    ship(benchmark.sparkSession)
+    found = F.lit(False)
+    for sent in _blocks(benchmark):
+        found = found | _holds(sent, error_rate)(text.cast("string"))
+    return found
+
+
+def _holds(sent, error_rate: float):
+    @F.pandas_udf("boolean")
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(sent.value, error_rate)
+        for texts in batches:
+            yield pd.Series([bool(matcher.find(t)) for t in texts.fillna("")], dtype=bool)
+
+    return holds
 
 
 def _search(sent, error_rate: float):

@@ -11,11 +11,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import common
+from docspark.packaging import ship
 
 BUCKETS = 2048
 MAX_LANGUAGES = 256
@@ -121,6 +123,31 @@ def held_out(id_col: str = "doc_id", modulus: int = 4, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == rest, F.lit(False))
 
 
+def _judged(model: Model | None, texts: list[str], margin: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, scores and ambiguity of some texts."""
+    lang, score, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    at = [i for i, t in enumerate(texts) if model is not None and _LETTER.search(t)]
+    if at:
+        best, top, second = model.predict(features([texts[i] for i in at]))
+        for i, b in zip(at, best, strict=True):
+            lang[i] = model.languages[b]
+        score[at], unsure[at] = top, top - second < margin
+    return lang, score, unsure
+
+
+def language(spark: SparkSession, model: Model | None, text: Column) -> Column:
+    """The same judgement as a column, for filters that keep whole rows without a join."""
+    ship(spark)
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("string")
+    def judge(texts: pd.Series) -> pd.Series:
+        held = texts.fillna("").tolist()
+        return pd.Series([x for i in range(0, len(held), 512) for x in _judged(sent.value, held[i : i + 512], 0.0)[0]], dtype=object)
+
+    return judge(text.cast("string"))
+
+
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", margin: float = 0.2) -> DataFrame:
     """Language of every whole text: ``doc_id, lang_pred, score, ambiguous``.
 
@@ -132,20 +159,11 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
         for batch in batches:
             for part in common.slices(batch):
                 for start in range(0, part.num_rows, 512):
                     some = part.slice(start, 512)
-                    texts = some.column(1).to_pylist()
-                    known = [model is not None and bool(_LETTER.search(t)) for t in texts]
-                    lang, score, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-                    at = np.flatnonzero(known)
-                    if len(at):
-                        best, top, second = model.predict(features([texts[i] for i in at]))
-                        for i, b in zip(at, best, strict=True):
-                            lang[i] = model.languages[b]
-                        score[at], unsure[at] = top, top - second < margin
+                    lang, score, unsure = _judged(sent.value, some.column(1).to_pylist(), margin)
                     yield pa.record_batch([some.column(0), pa.array(lang, pa.string()), pa.array(score.astype(np.float64)), pa.array(unsure)], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
     return rows.mapInArrow(judge, "doc_id long, lang_pred string, score double, ambiguous boolean")
