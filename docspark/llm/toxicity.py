@@ -22,8 +22,9 @@ from docspark.llm import common
 
 EXAMPLES = 6000
 TERMS = 2000
+LEAST_CHI = 4.0  # of a term, on the examples
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 256
 LEAST_SUPPORT = 5
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -69,13 +70,14 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray  # of the examples
     toxic: np.ndarray
-    weights: np.ndarray  # examples by terms
+    weights: np.ndarray  # terms by examples
     curve: np.ndarray = field(default_factory=lambda: np.zeros(3))
     base: float = 0.5
     best: np.ndarray = field(init=False)  # blocks by terms
 
     def __post_init__(self) -> None:
-        self.best = np.array([self.weights[i : i + BLOCK].max(0) for i in range(0, len(self.weights), BLOCK)] or np.zeros((0, len(self.idf))), np.float32)
+        starts = range(0, self.weights.shape[1], BLOCK)
+        self.best = np.array([self.weights[:, i : i + BLOCK].max(1) for i in starts], np.float32).reshape(len(starts), -1)
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples and their cosines, ties by place; only positive ones."""
@@ -84,8 +86,10 @@ class Index:
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or len(sims) >= k and bound[b] < sims[k - 1]:
                 break
-            s = self.weights[b * BLOCK : (b + 1) * BLOCK][:, ids] @ w
-            at = np.flatnonzero(s > 0)
+            s = w @ self.weights[ids, b * BLOCK : (b + 1) * BLOCK]
+            at = np.flatnonzero(s >= max(sims[k - 1], np.float32(1e-9)) if len(sims) >= k else s > 0)
+            if not len(at):
+                continue
             found, sims = np.concatenate([found, b * BLOCK + at]), np.concatenate([sims, s[at]])
             if skip >= 0:
                 found, sims = found[found != skip], sims[found != skip]
@@ -114,8 +118,8 @@ def _calibrate(index: Index, share: float) -> None:
     """Logistic curve over votes by Newton steps; classes weigh as in the labelled table."""
     rows = []
     for i in range(len(index.ids)):
-        ids = np.flatnonzero(index.weights[i])
-        rows.append(index.votes(*index.nearest(ids, index.weights[i, ids], skip=i)) if len(ids) else index.votes(np.empty(0, np.int64), np.empty(0)))
+        ids = np.flatnonzero(index.weights[:, i])
+        rows.append(index.votes(*index.nearest(ids, index.weights[ids, i], skip=i)) if len(ids) else index.votes(np.empty(0, np.int64), np.empty(0)))
     x = np.array([[1.0, _logit(v), near] for v, near in rows])
     y = index.toxic.astype(float)
     held = max(y.mean(), 1e-6)
@@ -164,8 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: i
     if len(taken) < 2:
         return None
     both = F.col("bad") + F.col("good")
-    chi = F.pow(F.col("bad") * float(taken[0]) - F.col("good") * float(taken[1]), 2) / (both * (float(taken[0] + taken[1]) - both + 1))
-    vocabulary = {r.term: i for i, r in enumerate(held.where(both >= LEAST_SUPPORT).orderBy(chi.desc(), "term").limit(terms).select("term").collect())}
+    n = float(taken[0] + taken[1])
+    chi = F.pow(F.col("bad") * float(taken[0]) - F.col("good") * float(taken[1]), 2) / (both * (n - both + 1) * float(taken[0]) * float(taken[1]))
+    vocabulary = {r.term: i for i, r in enumerate(held.where((both >= LEAST_SUPPORT) & (n * chi >= LEAST_CHI)).orderBy(chi.desc(), "term").limit(terms).select("term").collect())}
     if not vocabulary:
         return None
     words = spark.sparkContext.broadcast(vocabulary)
@@ -192,12 +197,12 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: i
                 yield pa.record_batch([some.column(0), some.column(2).cast(pa.int32()), pa.array([g[0].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[1].tolist() for g in got], pa.list_(pa.float32()))], names=["doc_id", "toxic", "ids", "w"])
 
     got = sorted(map(tuple, chosen.mapInArrow(weighed, "doc_id long, toxic int, ids array<long>, w array<float>").collect()), key=lambda r: (r[0], r[2], r[3]))
-    weights = np.zeros((len(got), len(vocabulary)), np.float32)
+    weights = np.zeros((len(vocabulary), len(got)), np.float32)
     for i, r in enumerate(got):
-        weights[i, r[2]] = r[3]
+        weights[r[2], i] = r[3]
     index = Index(vocabulary, idf, np.array([r[0] for r in got]), np.array([r[1] for r in got]), weights)
     share = sizes[1] / (sizes[0] + sizes[1])
-    bare = ~weights.any(1)
+    bare = ~weights.any(0)
     odds = share / taken[1] * (bare & (index.toxic == 1)).sum(), (1 - share) / taken[0] * (bare & (index.toxic == 0)).sum()
     index.base = float((odds[0] + 1e-4) / (sum(odds) + 2e-4))
     _calibrate(index, share)
