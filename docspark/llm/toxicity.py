@@ -24,7 +24,7 @@ EXAMPLES = 6000
 TERMS = 2000
 LEAST_CHI = 4.0  # of a term, on the examples
 NEIGHBOURS = 15
-BLOCK = 256
+BLOCK = 1024
 LEAST_SUPPORT = 5
 _WORD = re.compile(r"[^\W\d_]+")
 
