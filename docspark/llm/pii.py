@@ -33,13 +33,15 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BASE_NEEDS = {"email": "contains(text, '@')", "ip": "contains(text, '.')", "card": None, "phone": "contains(text, '+')"}
-_AT, _DOT = r"(?:\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20|\x20?@\x20?)", r"(?:\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20|\.)"
+_AT, _DOT = r"(?i:\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20|\x20?@\x20?)", r"(?i:\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20|\.)"
 CANDIDATES = {
     "spelled": rf"(?:\G|(?<!{_RUN})){_RUN}++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
     "digits": r"(?:\+|\()?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+",
     "colons": r"(?:\G|(?<![0-9A-Fa-f:]))[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){4,7}+",
 }
-CANDIDATE_NEEDS = {"spelled": "contains(text, '@') OR contains(text, 'dot') OR contains(text, 'at)') OR contains(text, 'at]')", "digits": None, "colons": "contains(text, ':')"}
+CANDIDATE_NEEDS = {"spelled": None, "digits": None, "colons": "contains(text, ':')"}
+# Parts of a run of digits begin and end at its groups. Cards have at most 19 digits and phone numbers 15, so longer parts are neither.
+_GROUP, PART_DIGITS = "[+(]?[0-9]+", (7, 19)
 
 _SPAN = "array<struct<start:int,end:int,s:string,before:string,after:string>>"
 _STEP = 512
@@ -51,10 +53,10 @@ def _found(text: str, pattern: str, needs: Column) -> tuple[Column, Column]:
     return F.when(needs, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none), F.when(needs, F.split(text, pattern, -1)).otherwise(none)
 
 
-def _spans(found: str, gaps: str) -> Column:
+def _spans(found: str, gaps: str) -> str:
     """Places of the matches: running sums of lengths, in steps so that long lists stay cheap."""
     rows = f"zip_with(zip_with({found}, slice({gaps}, 1, size({found})), (s, g) -> struct(s, g)), slice({gaps}, 2, size({found})), (x, h) -> named_struct('s', x.s, 'before', x.g, 'after', h))"
-    return F.expr(f"""
+    return f"""
         CASE WHEN size({found}) = 0 THEN cast(array() AS {_SPAN}) ELSE
         transform(array({rows}), r ->
           transform(array(transform(sequence(0, (size(r) - 1) div {_STEP}), c -> slice(r, c * {_STEP} + 1, {_STEP}))), parts ->
@@ -63,7 +65,20 @@ def _spans(found: str, gaps: str) -> Column:
               (p, start) -> aggregate(p, named_struct('at', start, 'out', cast(array() AS {_SPAN})),
                 (acc, x) -> named_struct('at', acc.at + length(x.before) + length(x.s), 'out', array_append(acc.out, named_struct(
                   'start', acc.at + length(x.before), 'end', acc.at + length(x.before) + length(x.s), 's', x.s, 'before', right(x.before, 24), 'after', left(x.after, 8)))),
-                acc -> acc.out))))[0])[0] END""")
+                acc -> acc.out))))[0])[0] END"""
+
+
+def _parts(runs: str) -> str:
+    """The runs of digits, and of each every part from one group to another that a card or phone number can be."""
+    least, most = PART_DIGITS
+    groups = f"transform(array(named_struct('f', regexp_extract_all(w.s, '{_GROUP}', 0), 'g', split(w.s, '{_GROUP}', -1))), q -> {_spans('q.f', 'q.g')})[0]"
+    # Texts are joined from the groups around, so that a part costs the same in a long run.
+    joined = lambda start, n: f"array_join(transform(slice(gs, {start} + 1, {n}), t -> t.before || t.s), '')"
+    lead = f"right(concat(w.before, {joined('greatest(i - 24, 0)', 'least(i, 24)')}, gs[i].before), 24)"
+    text = f"gs[i].s || {joined('i + 1', 'j - i')}"
+    ends = f"filter(transform(sequence(i, least(i + {most - 1}, size(gs) - 1)), j -> named_struct('j', j, 's', {text})), e -> NOT (i = 0 AND e.j = size(gs) - 1) AND length(translate(e.s, ' ().+/-', '')) BETWEEN {least} AND {most})"
+    part = f"named_struct('start', w.start + gs[i].start, 'end', w.start + gs[e.j].end, 's', e.s, 'before', lead, 'after', left({joined('e.j + 1', 8)} || w.after, 8))"
+    return f"flatten(transform({runs}, w -> concat(array(w), transform(array({groups}), gs -> flatten(transform(sequence(0, size(gs) - 1), i -> transform(array({lead}), lead -> transform({ends}, e -> {part}))[0])))[0])))"
 
 
 BASE_KEEPS = {
@@ -104,6 +119,9 @@ FEATURES = {
     "number_word": "CASE WHEN x.before RLIKE '(?i)(id|no|order|ref|version|build|serial|token|hash|key|page|isbn)[^0-9]*$' THEN 1D ELSE 0D END",
     "colon_groups": "cast(length(regexp_replace(x.s, '[^:]', '')) AS double)",
     "hex_letters": "cast(length(regexp_replace(x.s, '[^A-Fa-f]', '')) AS double)",
+    "fours": "CASE WHEN x.s RLIKE '^[0-9]{4}([^0-9]+[0-9]{4}){2,3}([^0-9]+[0-9]{1,3})?$' OR x.s RLIKE '^[0-9]+$' THEN 1D ELSE 0D END",
+    "run_before": "CASE WHEN x.before RLIKE '[0-9][ ()./-]{0,2}$' THEN 1D ELSE 0D END",
+    "run_after": "CASE WHEN x.after RLIKE '^[ ()./-]{0,2}[0-9]' THEN 1D ELSE 0D END",
 }
 
 
@@ -118,10 +136,46 @@ def examples(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, str, str, str
     word = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 9)))
     digits = lambda k: str(r.randint(1, 9)) + "".join(str(r.randint(0, 9)) for _ in range(k - 1))
     prose = lambda: f"{word()} {word()} "
+
+    def phone() -> str:
+        a, b, c = digits(3), digits(3), digits(4)
+        return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{a}/{b}{c}"])
+
+    def card() -> str:
+        d = digits(15)
+        d += _luhn_tail(d)
+        return r.choice([".", "  ", "/", " ", "-"]).join(d[k : k + 4] for k in range(0, 16, 4))
+
+    def part(good: int) -> tuple[str, str, str, str]:
+        """A part of a run of numbers: one of them, or a cut through them, more often one whose digits pass for a card."""
+        held = [r.choice([phone, card])() for _ in range(r.choice([2, 2, 3, 4]))]
+        if not good and r.random() < 0.4:
+            date = lambda: r.choice([f"{r.randint(1900, 2099)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", f"{r.randint(1, 28):02}.{r.randint(1, 12):02}.{r.randint(1900, 2099)}"])
+            short = lambda: digits(r.randint(1, 3))
+            held = [" ".join(r.choice([date, short])() if k % 2 else short() for k in range(r.randint(5, 16)))]
+        elif r.random() < 0.4:
+            held[0] = digits(r.randint(1, 4))  # such a number is none
+        run, wholes = "", []
+        for x in held:
+            run += r.choice([" ", "/", "  "]) if run else ""
+            wholes += [(len(run), len(run) + len(x))] if len(x) > 4 and len(held) > 1 else []
+            run += x
+        groups = [m.span() for m in re.finditer(_GROUP, run)]
+        size = lambda a, b: sum(map(str.isdigit, run[a:b]))
+        cuts = [(a, b) for i, (a, _) in enumerate(groups) for _, b in groups[i:] if (a, b) not in wholes and PART_DIGITS[0] <= size(a, b) <= PART_DIGITS[1]]
+        numbers = {c: re.sub("[^0-9]", "", run[slice(*c)]) for c in cuts}
+        close = [c for c, d in numbers.items() if len(d) >= 13 and _luhn_tail(d[:-1]) == d[-1]]
+        a, b = r.choice(wholes if good else close if close and r.random() < 0.4 else cuts or [(0, len(run))])
+        s, lead, tail = run[a:b], prose() + r.choice(["", "", "tel ", "card ", "call "]), r.choice([" ", ".", "\n"]) + word()
+        return "card" if size(a, b) >= 12 and s[0] not in "+(" else "phone", s, (lead + run[:a])[-24:], (run[b:] + tail)[:8]
+
     out = []
     for i in range(n):
         before, after, good = prose(), r.choice([" ", ".", ",", "\n", ""]), i % 2
         kind = r.choice(KINDS)
+        if kind in ("card", "phone") and r.random() < 0.4:
+            out.append((*part(good), good))
+            continue
         if kind == "email":
             host, end = word(), r.choice(["com", "org", "net", "info", "de", "fr"])
             if good:
@@ -208,8 +262,8 @@ def scorer(spark: SparkSession) -> Scorer:
 def find_spans(docs: DataFrame, trained: Scorer | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its ``base`` spans and those the trees ``added``: arrays of ``kind, start, end`` (code points, end exclusive).
 
-    Base spans are the leftmost non-overlapping matches of each kind that pass its test. Added spans don't overlap base
-    ones. Null and empty texts have none; repeated rows are searched each; an empty table gives an empty table; other
+    Base spans are the leftmost non-overlapping matches of each kind that pass its test. Added spans overlap neither base
+    ones nor each other: of overlapping ones that pass, the trees' best stays, then the first, then the longest. Null and empty texts have none; repeated rows are searched each; an empty table gives an empty table; other
     columns are not read. No shuffle.
     """
     spark = docs.sparkSession
@@ -223,16 +277,19 @@ def find_spans(docs: DataFrame, trained: Scorer | None = None, id_col: str = "do
             columns[f"{name}_{kind}"], columns[f"{name}_{kind}_gaps"] = _found("text", pattern, wanted)
         rows = rows.withColumns(columns)
     rows = rows.drop("text", "numbers")
-    rows = rows.select("doc_id", *[_spans(f"{n}_{k}", f"{n}_{k}_gaps").alias(f"{n}_{k}") for n, p in (("b", BASE), ("c", CANDIDATES)) for k in p])
+    rows = rows.select("doc_id", *[F.expr(_spans(f"{n}_{k}", f"{n}_{k}_gaps")).alias(f"{n}_{k}") for n, p in (("b", BASE), ("c", CANDIDATES)) for k in p])
+    rows = rows.withColumn("c_digits", F.expr(_parts("c_digits")))
     base = "concat(" + ", ".join(f"transform(filter(b_{k}, x -> {BASE_KEEPS[k]}), x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end))" for k in KINDS) + ")"
     proposed = "concat(" + ", ".join(f"transform(c_{k}, x -> named_struct('kind', {_KIND[k]}, 'start', x.start, 'end', x.end, 's', x.s, 'before', x.before, 'after', x.after))" for k in CANDIDATES) + ")"
     features = "named_struct(" + ", ".join(f"'{c}', {e}" for c, e in FEATURES.items()) + ")"
     least = "CASE y.kind " + " ".join(f"WHEN '{k}' THEN {t}D" for k, t in trained.thresholds.items()) + " END"
     rows = rows.select("doc_id", F.expr(base).alias("base"), F.expr(proposed).alias("proposed"))
     scored = f"transform(proposed, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'f', {features}))"
-    rows = rows.withColumn("scored", F.expr(f"transform({scored}, y -> named_struct('kind', y.kind, 'start', y.start, 'end', y.end, 'good', transform(array(y.f), f -> {trained.sql})[0] >= {least}))"))
-    rows = rows.withColumn("passed", F.expr("array_except(transform(filter(scored, y -> y.good), y -> named_struct('kind', y.kind, 'start', y.start, 'end', y.end)), base)"))
-    return rows.select("doc_id", "base", F.expr("filter(passed, c -> NOT exists(base, b -> b.start < c.end AND b.end > c.start))").alias("added"))
+    rows = rows.withColumn("scored", F.expr(f"transform({scored}, y -> named_struct('kind', y.kind, 'start', y.start, 'end', y.end, 'p', transform(array(y.f), f -> {trained.sql})[0], 'least', {least}))"))
+    rows = rows.withColumn("passed", F.expr("filter(scored, y -> y.p >= y.least AND NOT exists(base, b -> b.start < y.end AND b.end > y.start))"))
+    ranked = "array_sort(transform(passed, y -> named_struct('p', -y.p, 'start', y.start, 'size', y.start - y.end, 'end', y.end, 'kind', y.kind)))"
+    chosen = f"aggregate({ranked}, cast(array() AS array<struct<kind:string,start:int,end:int>>), (acc, y) -> CASE WHEN exists(acc, a -> a.start < y.end AND a.end > y.start) THEN acc ELSE array_append(acc, named_struct('kind', y.kind, 'start', y.start, 'end', y.end)) END)"
+    return rows.select("doc_id", "base", F.expr(f"array_sort({chosen}, (a, b) -> a.start - b.start)").alias("added"))
 
 
 def personal_data(docs: DataFrame, trained: Scorer | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -56,6 +56,42 @@ def test_added_spans(spark):
     assert not any(got[i] for i in (2, 3, 4, 5))
 
 
+@pytest.mark.parametrize("text", ["jane {at} example.com", "jane [ at ] example.com", "jane ( at ) example.com", "JANE [AT] EXAMPLE [DOT] COM", "jane at example.com"])
+def test_spelled_addresses_need_nothing_elsewhere(spark, text):
+    pattern = pii.CANDIDATES["spelled"]
+    wanted = F.expr(pii.CANDIDATE_NEEDS["spelled"] or "true")
+    docs = spark.createDataFrame([(0, text), (1, text + ", or x@ and dot")], "doc_id long, text string")
+    assert [r[0] for r in docs.select(F.when(wanted, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).collect()] == [[text], [text]]
+    added = {r.doc_id: r.added for r in pii.find_spans(docs).collect()}
+    assert added[0] == added[1]
+    if text != "jane at example.com":
+        assert [(s.kind, text[s.start : s.end]) for s in added[0]] == [("email", text)]
+
+
+def test_parts_of_a_run_of_digits(spark):
+    runs = {
+        "call (555) 123-4567 (555) 765-4321 now": ["(555) 123-4567", "(555) 765-4321"], "12 (555) 123-4567": ["(555) 123-4567"], "1 (555) 123-4567": ["1 (555) 123-4567"],
+        "see 4539.1488.0343.6467 4539.1488.0343.6467": ["4539.1488.0343.6467"] * 2, "2024-01-12 2024-01-13 10.20.1999": [], "page 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    got = {r.doc_id: r.added for r in pii.find_spans(docs).collect()}
+    for i, (text, want) in enumerate(runs.items()):
+        assert [text[s.start : s.end] for s in got[i]] == want, text
+
+
+def test_all_parts_are_proposed(spark):
+    text = "é 12 (555) 123-4567 (555) 765/4321, 12345678"
+    frame = spark.createDataFrame([(text,)], "text string").withColumns(dict(zip(("f", "g"), pii._found("text", pii.CANDIDATES["digits"], F.lit(True)), strict=True)))
+    got = frame.select(F.expr(pii._spans("f", "g")).alias("c")).select(F.expr(pii._parts("c"))).first()[0]
+    want = set()
+    for run in re.finditer(pii.CANDIDATES["digits"], text):
+        groups = [m.span() for m in re.finditer(r"[+(]?[0-9]+", run[0])]
+        parts = {(a, b) for i, (a, _) in enumerate(groups) for _, b in groups[i:] if 7 <= len(re.sub("[^0-9]", "", run[0][a:b])) <= 19} | {(0, len(run[0]))}
+        want |= {(run.start() + a, run.start() + b) for a, b in parts}
+    assert sorted((s.start, s.end) for s in got) == sorted(want)
+    assert all(s.s == text[s.start : s.end] and s.before == text[: s.start][-24:][-len(s.before) :] and text[s.end :].startswith(s.after) for s in got)
+
+
 def brute_url(url):
     if url is None or "://" not in url:
         return "", ""
