@@ -148,6 +148,17 @@ def language(spark: SparkSession, model: Model | None, text: Column) -> Column:
     return judge(text.cast("string"))
 
 
+def has_letter(spark: SparkSession, text: Column) -> Column:
+    """Whether a text has a letter, as the model asks before it judges."""
+    ship(spark)
+
+    @F.pandas_udf("boolean")
+    def asks(texts: pd.Series) -> pd.Series:
+        return pd.Series([_LETTER.search(t) is not None for t in texts.fillna("")], dtype=bool)
+
+    return asks(text.cast("string"))
+
+
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", margin: float = 0.2) -> DataFrame:
     """Language of every whole text: ``doc_id, lang_pred, score, ambiguous``.
 
