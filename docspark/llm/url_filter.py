@@ -24,7 +24,7 @@ MOST_BYTES = 64 << 20
 
 # The contract's rules as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-# Host labels that put a host on the list of the registered query.
+# Host labels that put a host on the list of the registered query, as in its SQL. Other kinds of host are allowed.
 LISTED_LABELS = ("adult", "casino", "porn", "xxx", "gambling", "escort")
 
 
@@ -89,7 +89,8 @@ def build(universe: DataFrame) -> Cascade:
     level = 0
     inside, outside = universe.where("listed").select("h1", "h2"), universe.where("not listed").select("h1", "h2")
     while (n := inside.count()) or not filters:
-        size = max(64, (FIRST_BITS if not level else MORE_BITS) * n)
+        # An odd size of its own for each level: keys that agree in one size don't in all, so every cascade ends.
+        size = max(64, (FIRST_BITS if not level else MORE_BITS) * n) // 2 * 2 + 1 + 2 * level
         filters.append(_filter(inside, level, size))
         bits.append(size)
         one = universe.sparkSession.sparkContext.broadcast(Cascade([filters[-1]], [size]))
@@ -150,7 +151,7 @@ def filter_urls(pages: DataFrame, listed: Column, rules: tuple[tuple[str, str, s
 
 
 def by_labels(labels: tuple[str, ...] = LISTED_LABELS) -> Column:
-    """Hosts with a label that begins with one of the words, alone or before a hyphen or digit."""
+    """Hosts with a label that begins with one of the words, alone or before a hyphen or digit; a word further on in a label doesn't count."""
     return F.col("host").rlike(r"(^|\.)(" + "|".join(labels) + r")([-0-9.]|$)")
 
 

@@ -121,6 +121,18 @@ def test_cascade_is_exact(spark):
     assert (cascade.listed(frame["h1"].to_numpy(), frame["h2"].to_numpy()) == frame["listed"].to_numpy()).all() and len(cascade.filters) > 1
 
 
+def test_cascade_ends_for_keys_that_agree_in_one_size(spark):
+    rows = [(5, 9, True), (5 + 64 * 1001, 9 + 64 * 777, False), (7 + (1 << 40), 11, True), (7, 11 + (1 << 30), False)]
+    filters, most = [], 40
+    kept, url_filter._filter = url_filter._filter, lambda *a: filters.append(kept(*a)) or (filters[-1] if len(filters) < most else pytest.fail("no end"))
+    try:
+        cascade = url_filter.build(spark.createDataFrame(rows, "h1 long, h2 long, listed boolean"))
+    finally:
+        url_filter._filter = kept
+    first, second, listed = (np.array(c) for c in zip(*rows, strict=True))
+    assert (cascade.listed(first, second) == listed).all()
+
+
 def labelled(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
 
