@@ -47,6 +47,16 @@ def test_base_spans(spark, corpus, empty):
     assert pii.personal_data(corpus).count() == corpus.count() and pii.personal_data(empty).count() == 0
 
 
+def test_base_spans_of_whole_tables(spark, sf_dir, corpus):
+    for docs in (corpus.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")):
+        want = []
+        for r in docs.collect():
+            spans = base_spans(r.text or "")
+            want.append((r.doc_id, *[sum(s.startswith(k) for s in spans) for k in PATTERNS], hashlib.sha256(",".join(spans).encode()).hexdigest()))
+        got = [(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.personal_data(docs).collect()]
+        assert want and sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_added_spans(spark):
     texts = ["write to jane.roe [at] example [dot] com now", "tel (743) 555-3824 any time", "we met at noon and the dot was red", "order no 4785380592391130 shipped", "token = \"2321bac4d15ec8f90433955bf9d3cf61\"", "mail a@b.com"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
