@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
         enc = tokenizing.encoder(tokenizer_path)
         for batch in batches:
             for part in common.slices(batch):
-                found = enc.encode(part.column(1).to_pylist())
-                yield pa.record_batch([part.column(0), pa.compute.cast(pa.compute.binary_length(part.column(1)), pa.int64()), pa.array([len(x) // 4 for x in found], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+                _, at = enc.encode(part.column(1))
+                yield pa.record_batch([part.column(0), pa.compute.cast(pa.compute.binary_length(part.column(1)), pa.int64()), pa.array(np.diff(at))], names=["doc_id", "n_bytes", "n_tokens"])
 
     counted = common.texts(docs, id_col, text_col).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -129,8 +129,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, drop
     """Write the ids of all documents in ascending id order as shards under ``path``.
 
     Each document ends with ``end_id``; null and empty texts are that id alone. Rows with null ids come
-    first, rows that share an id follow each other by text. A shard closes after the document that
-    brings it to ``shard_tokens``.
+    first, rows that share an id follow each other by a hash of their texts. A shard closes after the document that brings it to ``shard_tokens``. An empty table gives files without
+    rows; other columns are not read.
     """
 
     def shard(part: int, number: int, before: int, doc_ids: list, held: list[bytes]) -> pa.RecordBatch:
@@ -148,17 +148,21 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, drop
         doc_ids, held = [], []
         for batch in batches:
             for piece in common.slices(batch):
-                for doc, ids in zip(piece.column(0).to_pylist(), enc.encode(piece.column(1).to_pylist()), strict=True):
+                ids, at = enc.encode(piece.column(1))
+                raw, cuts = ids.tobytes(), (4 * at).tolist()
+                for doc, a, b in zip(piece.column(0).to_pylist(), cuts, cuts[1:], strict=False):
                     doc_ids.append(doc)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
+                    held.append(raw[a:b] + end)
+                    size += (b - a) // 4 + 1
                     if size >= shard_tokens:
                         yield shard(part, number, before, doc_ids, held)
                         number, before, size, doc_ids, held = number + 1, before + size, 0, [], []
         if held:
             yield shard(part, number, before, doc_ids, held)
 
-    ordered = common.texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that share an id, or all of it, are dealt by their texts' hashes and their places: no id is one task's.
+    keyed = common.texts(docs, id_col, text_col).withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange("doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "place").select("doc_id", "text")
     ordered.mapInArrow(shards, FILE_SCHEMA).write.parquet(path)
 
 

@@ -1,22 +1,28 @@
 """Token ids of whole texts through the tokenizers library.
 
-Prose repeats its words, so each distinct piece (a word with the white space before it) is looked up in a
-bounded table; only a new piece is encoded. Piece borders are places where the vocabulary's own
-pre-tokenizer always cuts, so the joined ids equal those of the whole text. A new piece of Latin-1
-characters is split by the same pattern here and its words go to the library's BPE model; any other
-piece, and one that may hold a special token, goes through the whole library.
+Prose repeats its words, so a batch of texts is split at single spaces and each distinct part is encoded once: Arrow
+splits and numbers the parts, numpy puts their ids back in place. A bounded table keeps parts across batches.
+The cuts are places where the vocabulary's own pre-tokenizer always cuts, so the joined ids equal those of the
+whole text. A new part of Latin-1 characters is split by the same pattern here and its words go to the
+library's BPE model; any other part, and one that may hold a special token, goes through the
+whole library. Texts with other than single white space between words take a slower way with the same result.
 """
 
 from __future__ import annotations
 
 import array
+import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # White space with the word after it; the last white space stands alone.
 _SPACED = re.compile(r"\s*\S+|\s+")
 # Python counts these as white space, the tokenizers' patterns don't.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "[\x1c-\x1f]"
 _BORDER = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f])")
 _OTHER = re.compile("[^\x00-\xff]|<\\|")
 
@@ -24,6 +30,8 @@ _OTHER = re.compile("[^\x00-\xff]|<\\|")
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", " \t-\r\x85\xa0"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _KEEPS_SPACE = re.compile(f"{_ENDINGS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_MARKS = r"[!-&(-/:-@\[-`{-~]+"
+_WORDS = re.compile(f"( ?[{_L}]+)({_MARKS})?(?:(\n)([{_L}]+)({_MARKS})?)?").fullmatch
 _DROPS_SPACE = re.compile(f"{_ENDINGS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
@@ -41,49 +49,107 @@ class _Pieces(dict):
     """
 
     def __init__(self, path: str, drops_space: bool):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.older: dict[str, bytes] = {}
         self.library, self.drops_space, self.letters = Tokenizer.from_file(path), drops_space, _byte_letters()
-        self.tokenize = self.library.model.tokenize
-        self.packed = [array.array("I", [i]).tobytes() for i in range(self.library.get_vocab_size())]
+        model = self.library.model
+        model._resize_cache(0)  # words come once, the table keeps them
+        self.tokenize = model.tokenize
+        self.words_only = Tokenizer(model)
+        self.words_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        names = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
+        self.border = np.array([x.endswith("</w>") if drops_space else x.startswith(self.letters[32]) for x in names])
+        self.feed = self.library.token_to_id(self.letters[10])
+        self.packed = [array.array("I", [i]).tobytes() for i in range(len(names))]
         self.cut = (_DROPS_SPACE if drops_space else _KEEPS_SPACE).findall
 
     def whole(self, text: str) -> bytes:
         return array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _letters(self, word: str) -> str:
+        """A word as the vocabulary writes it."""
+        if word.isascii() and word[1:].isalpha():
+            return self.letters[32] + word[1:] if word[0] == " " else word
+        return word.encode().decode("latin-1").translate(self.letters)
+
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
             if len(piece) > 64:
                 return self.whole(piece)
-            if ("<|" in piece) if piece.isascii() else _OTHER.search(piece):
-                ids = self.whole(piece)
-            else:
-                words = self.cut(piece.lower() if self.drops_space else piece)
-                if len(words) == 1 and words[0] == piece:
-                    letters = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
-                    packed = self.packed
-                    ids = b"".join([packed[t.id] for t in self.tokenize(letters)])
-                else:
-                    ids = b"".join(map(self.__getitem__, words))
+            ids = self._new(piece)
         self[piece] = ids
         return ids
 
+    def _new(self, piece: str) -> bytes:
+        if ("<|" in piece) if piece.isascii() else _OTHER.search(piece):
+            return self.whole(piece)
+        words = self.cut(piece.lower() if self.drops_space else piece)
+        if len(words) == 1 and words[0] == piece:
+            packed = self.packed
+            return b"".join([packed[t.id] for t in self.tokenize(self._letters(piece))])
+        return b"".join(map(self.__getitem__, words))
+
+    def all(self, pieces: list[str]) -> list[bytes]:
+        """Ids of many pieces; new words of Latin-1 letters go to the library together."""
+        held = list(map(self.get, pieces))
+        older, words, made = self.older.get, set(), []
+        for p in [p for p, h in zip(pieces, held, strict=True) if h is None]:
+            ids = older(p)
+            if ids is not None:
+                self[p] = ids
+            elif 0 < len(p) <= 64:
+                q = p.lower() if self.drops_space else p
+                if q.isascii() and q[1:].isalpha() and (q[0] == " " or q[0].isalpha()):
+                    words.add(q)
+                    if q != p:
+                        made.append((p, (q,)))
+                elif m := _WORDS(q):
+                    first, marks, feed, second, more = m.groups()
+                    words.add(first)
+                    if second:
+                        words.add(second)
+                    made.append((p, [x for x in (first, marks, None if self.drops_space else feed, second, more) if x]))
+        self._learn([w for w in words if w not in self])
+        for p, some in made:
+            self[p] = b"".join([self[x] for x in some])
+        return [self[p] if h is None else h for p, h in zip(pieces, held, strict=True)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words in lines of 500; their ids are told apart by word ends, by the space that each begins with, or by a line feed after each."""
+        lead, feed = self.letters[32], self.letters[10]
+        written = list(map(self._letters, words))
+        for spaced in (True, False):
+            some = [(w, x) for w, x in zip(words, written, strict=True) if (self.drops_space or x[0] == lead) == spaced]
+            gap, last = (" ", "") if spaced else (f" {feed} ", f" {feed}")
+            lines = [gap.join([x for _, x in some[k : k + 500]]) + last for k in range(0, len(some), 500)]
+            ids = np.array([i for x in self.words_only.encode_batch_fast(lines, add_special_tokens=False) for i in x.ids], np.uint32)
+            if spaced and not self.drops_space:
+                begin = np.flatnonzero(self.border[ids])
+                end = np.append(begin[1:], len(ids))
+            else:
+                end = np.flatnonzero(self.border[ids]) + 1 if spaced else np.flatnonzero(ids == self.feed)
+                begin = np.concatenate([[0], end[:-1] + (not spaced)])
+            if some:
+                raw = ids.tobytes()
+                self.update(zip([w for w, _ in some], [raw[a:b] for a, b in zip((4 * begin).tolist(), (4 * end).tolist(), strict=True)], strict=True))
+
     def turn(self) -> None:
         self.older = dict(self)
         self.clear()
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece.
+    """Encodes texts part by part.
 
     ``drops_space`` is for lower-casing vocabularies whose pre-tokenizer removes white space. At most about
-    twice ``memo_limit`` pieces are kept, whatever the corpus holds.
+    twice ``memo_limit`` parts are kept, whatever the corpus holds.
     """
 
-    def __init__(self, path: str, drops_space: bool = False, memo_limit: int = 300_000, segment: int = 1 << 20):
+    def __init__(self, path: str, drops_space: bool = False, memo_limit: int = 600_000, segment: int = 1 << 20):
         self.memo, self.drops_space, self.memo_limit, self.segment = _Pieces(path, drops_space), drops_space, memo_limit, segment
 
     def _segments(self, text: str) -> Iterator[str]:
@@ -94,17 +160,51 @@ class PieceEncoder:
             start = m.start()
         yield text[start:] if start else text
 
-    def _segment(self, text: str) -> bytes:
+    def _room(self) -> None:
+        if len(self.memo) > self.memo_limit:
+            self.memo.turn()
+
+    def _slowly(self, text: str) -> bytes:
+        """Ids of any text."""
+        out = []
+        for part in self._segments(text):
+            self._room()
+            if re.search(_SEPARATORS, part):
+                out.append(self.memo.whole(part))
+            else:
+                out.append(b"".join(map(self.memo.__getitem__, part.split() if self.drops_space else _SPACED.findall(part))))
+        return b"".join(out)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids start (with the end of the last)."""
+        self._room()
+        plain = pc.invert(pc.or_(pc.match_substring_regex(texts, _SEPARATORS), pc.greater(pc.binary_length(texts), self.segment))).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pc.if_else(plain, texts, pa.scalar("", texts.type)), " ")
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        parts = split.flatten().dictionary_encode()
+        at, words = parts.indices.to_numpy().astype(np.int64), parts.dictionary.to_numpy(zero_copy_only=False).tolist()
         memo = self.memo
-        if len(memo) > self.memo_limit:
-            memo.turn()
-        if _SEPARATORS.search(text):
-            return memo.whole(text)
-        return b"".join(map(memo.__getitem__, text.split() if self.drops_space else _SPACED.findall(text)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers."""
-        return [self._segment(x) if len(x) <= self.segment else b"".join(map(self._segment, self._segments(x))) for x in texts]
+        first = at[bounds[:-1]]
+        if self.drops_space:
+            held = memo.all(words)
+        else:
+            # Single spaces cut the text where neither side is empty or ends in white space.
+            odd = pc.or_(pc.equal(parts.dictionary, ""), pc.not_equal(parts.dictionary, pc.utf8_trim_whitespace(parts.dictionary))).to_numpy(zero_copy_only=False)
+            plain = plain & ~(np.add.reduceat(odd[at], bounds[:-1]) > 0) if len(at) else plain
+            held = memo.all([" " + w for w in words])
+            # A text's first word has no space before it.
+            held += memo.all([words[k] for k in first.tolist()])
+            at[bounds[:-1]] = len(words) + np.arange(len(first))
+        for i in np.flatnonzero(~plain).tolist():
+            at[bounds[i] : bounds[i + 1]] = len(held)  # all of its parts hold nothing but the first, which holds the text
+            held += [b"", self._slowly(texts[i].as_py())]
+            at[bounds[i]] = len(held) - 1
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        flat, begin = np.frombuffer(b"".join(held), np.uint32), np.cumsum(size) - size
+        n = size[at]
+        end = np.cumsum(n)
+        ids = flat[np.repeat(begin[at] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        return ids, np.concatenate([[0], end])[bounds]
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}

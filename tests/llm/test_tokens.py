@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -14,8 +16,13 @@ from docspark.llm import packing, token_counts, token_files, tokenizing
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
+@functools.cache
+def library(path):
+    return Tokenizer.from_file(path)
+
+
 def ids_of(path, text):
-    return Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    return library(path).encode(text, add_special_tokens=False).ids
 
 
 def rows_of(frame):
@@ -28,8 +35,11 @@ def test_pieces_equal_whole_texts(path, drops):
     texts = ["".join(rng.choice(alphabet, rng.integers(0, 60))) for _ in range(400)]
     texts.append("".join(texts))
     encoder = tokenizing.PieceEncoder(path, drops, memo_limit=50, segment=200)
-    for text, got in zip(texts, encoder.encode(texts), strict=True):
-        assert np.frombuffer(got, np.uint32).tolist() == ids_of(path, text)
+    for some in (texts, texts[:1], ["one two  three", "", "a", "wörd,\nNext$$$ 'tis <|endoftext|> b"] * 3, []):
+        ids, at = encoder.encode(pa.array(some, pa.string()))
+        assert len(at) == len(some) + 1 and at[-1] == len(ids)
+        for text, a, b in zip(some, at, at[1:], strict=False):
+            assert ids[a:b].tolist() == ids_of(path, text)
 
 
 def test_counts(corpus, empty):
@@ -55,15 +65,43 @@ def test_packing(corpus, empty):
     assert packing.pack(empty, BYTE).count() == 0
 
 
-def test_local_search_empties_bins():
+def test_local_search_saves_bins():
     rng = np.random.default_rng(2)
-    for _ in range(20):
-        sizes = rng.integers(1, 1200, 300).tolist()
-        first = packing.best_fit(sizes, 2048)
-        before = len(first)
-        after = packing.improve(first, sizes, 2048)
-        assert sorted(i for b in after for i in b) == list(range(300)) and len(after) <= before
-        assert all(sum(sizes[i] for i in b) <= 2048 for b in after)
+    saved = 0
+    for low, high in [(1, 1200), (500, 900), (600, 1400), (1, 2049), (1024, 1025), (2048, 2049), (1, 40)] * 3:
+        sizes = rng.integers(low, high, 400).tolist()
+        first = packing.fill(sizes, 2048)
+        filled = [sum(sizes[i] for i in b) for b in first]
+        after = packing.improve([list(b) for b in first], sizes, 2048)
+        load = [sum(sizes[i] for i in b) for b in after]
+        assert sorted(i for b in after for i in b) == list(range(400)) and max(load) <= 2048
+        assert sum(x * x for x in load) >= sum(x * x for x in filled)
+        best = packing.search(sizes, 2048)
+        assert len(best) <= len(after) <= len(first) and len(best) <= len(packing.fill(sorted(sizes, reverse=True), 2048))
+        assert sorted(i for b in best for i in b) == list(range(400)) and max(sum(sizes[i] for i in b) for b in best) <= 2048
+        saved += len(first) - len(after)
+        again = packing.improve([list(b) for b in after], sizes, 2048)
+        assert len(again) == len(after)
+    assert saved >= 60
+
+
+def test_exchanges():
+    # A move, one for one and two for one each empty the last bin.
+    for sizes, bins in (([4, 3, 3, 10], [[0], [1, 2], [3]]), ([5, 3, 6, 2, 4], [[0, 1], [2], [3, 4]]), ([6, 3, 5, 4, 2], [[0, 1], [2, 3], [4]])):
+        assert len(packing.improve([list(b) for b in bins], sizes, 10)) == 2
+
+
+def test_packing_of_repeated_rows(spark):
+    rows = [(7, "the same words again and again")] * 3000 + [(None, None)] * 500 + [(8, "x " * 3000)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(docs, BYTE, group_rows=500).toPandas()
+    whole = sum(len(ids_of(BYTE, t or "")) + 1 for _, t in rows)
+    assert got["length"].sum() == whole and len(got[got["piece"] == 0]) == len(rows)
+    fills = got.groupby("sequence_id")["length"].sum()
+    assert fills.max() <= 2048 and len(fills) <= -(-whole // 2048) + 2
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["offset"].tolist() == [0, *g["length"].cumsum()[:-1]]
 
 
 def test_coder_round_trip():
@@ -92,13 +130,15 @@ def test_damage_is_found():
 
 
 def test_files(spark, corpus, empty, tmp_path):
-    token_files.write(corpus, f"{tmp_path}/t", WORD, shard_tokens=100)
+    docs = corpus.unionByName(spark.createDataFrame([(3, f"repeated {i % 7}", None, None, 1, None, None) for i in range(200)], corpus.schema))
+    token_files.write(docs, f"{tmp_path}/t", WORD, shard_tokens=100)
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read(spark, f"{tmp_path}/t").collect())
-    at, want = 0, []
-    for d, t in sorted(rows_of(corpus), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    want = []
+    for d, t in rows_of(docs):
         ids = np.array([*ids_of(WORD, t), 1], np.uint32)
-        want.append((at, d, len(ids), zlib.crc32(ids.tobytes())))
-        at += len(ids)
-    assert got == want
+        want.append((d is not None, d or 0, len(ids), zlib.crc32(ids.tobytes())))
+    found = [(d is not None, d or 0, n, crc) for _, d, n, crc in got]
+    assert sorted(found) == sorted(want) and [x[:2] for x in found] == sorted(x[:2] for x in found)
+    assert [r[0] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()]
     token_files.write(empty, f"{tmp_path}/e", WORD)
     assert token_files.read(spark, f"{tmp_path}/e").count() == 0
