@@ -20,7 +20,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(_read(spark, sf_dir, "pages"), url_filter.by_labels())
+    pages = _read(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.hosts_with_words(pages))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """URL filters: path rules, and exact list membership through a cascade of Bloom filters.
 
 The first filter encodes the listed keys, the second the unlisted keys of the corpus that pass the first, the
-third the listed keys that pass the second, and so on until none passes wrongly. Over the key universe
-it was built for, the cascade answers exactly, so pages need no join with the list.
+third the listed keys that pass the second, and so on until none passes wrongly. Each level hashes the keys anew, so
+keys that agree at one level part at a later one. Over the key universe it was built for, the cascade answers
+exactly, so pages need no join with the list.
 """
 
 from __future__ import annotations
@@ -24,13 +25,20 @@ MOST_BYTES = 64 << 20
 
 # The contract's rules as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-# Host labels that put a host on the list of the registered query, as in its SQL. Other kinds of host are allowed.
-LISTED_LABELS = ("adult", "casino", "porn", "xxx", "gambling", "escort")
+# Words that put a host on the registered list, as in its SQL.
+LISTED_WORDS = (
+    "ads", "adult", "advert", "bet", "bets", "betting", "bingo", "casino", "dating", "escort", "gambling", "lottery", "pharma",
+    "pills", "poker", "popup", "porn", "sex", "slots", "spam", "tracker", "tracking", "viagra", "warez", "xxx",
+)
 
 
 def host_of(url: Column) -> Column:
     """Between the first ``://`` and the next ``/``, ``?``, ``#`` or end, A-Z lower-cased; else empty."""
     host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
+    return _lower(host)
+
+
+def _lower(host: Column) -> Column:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -48,26 +56,39 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return found
 
 
-def slots(first: Column, second: Column, level: int, bits: int) -> Column:
-    """A key's bit numbers at a level, from two hashes."""
-    return F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda i: F.pmod(first + (i + HASHES * level) * second, F.lit(bits)))
+def level_hash(level: int, key: str = "host") -> Column:
+    """A key's 64-bit hash at a level; levels are independent of each other."""
+    return F.xxhash64(F.lit(level), F.col(key))
+
+
+def slots(hashed: Column, bits: int) -> Column:
+    """A key's bit numbers, from the two halves of its hash."""
+    first, second = hashed.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(hashed, 32)
+    return F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda i: (first + i * second) % bits)
+
+
+def _holds(words: np.ndarray, bits: int, hashed: np.ndarray) -> np.ndarray:
+    """Which keys a filter lets pass."""
+    first, second = hashed & np.int64(0xFFFFFFFF), (hashed.view(np.uint64) >> np.uint64(32)).view(np.int64)
+    hit = np.ones(len(hashed), bool)
+    for i in range(HASHES):
+        at = (first + np.int64(i) * second) % np.int64(bits)
+        hit &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+    return hit
 
 
 class Cascade:
-    """Filters of a key universe, and which keys they hold."""
+    """The filters of a key universe, level by level."""
 
     def __init__(self, filters: list[np.ndarray], bits: list[int]):
         self.filters, self.bits = filters, bits
 
-    def listed(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Walk the levels: a key leaves at the first filter that misses it; the parity decides."""
-        out = np.full(len(first), len(self.filters) % 2 == 1)
-        left = np.ones(len(first), bool)
+    def listed(self, *hashed: np.ndarray) -> np.ndarray:
+        """Walk the levels with each level's hashes: a key leaves at the first filter that misses it; the parity decides."""
+        out = np.full(len(hashed[0]), len(self.filters) % 2 == 1)
+        left = np.ones(len(out), bool)
         for level, (words, bits) in enumerate(zip(self.filters, self.bits, strict=True)):
-            hit = np.ones(len(first), bool)
-            for i in range(HASHES):
-                at = (first + np.int64(i + HASHES * level) * second) % np.int64(bits)
-                hit &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+            hit = _holds(words, bits, hashed[level])
             out[left & ~hit] = level % 2 == 1
             left &= hit
         return out
@@ -75,7 +96,7 @@ class Cascade:
 
 def _filter(keys: DataFrame, level: int, bits: int) -> np.ndarray:
     """Bits of all keys; words are combined before the shuffle, and their number is bounded by ``bits``."""
-    at = keys.select(F.explode(slots(F.col("h1"), F.col("h2"), level, bits)).alias("at"))
+    at = keys.select(F.explode(slots(level_hash(level), bits)).alias("at"))
     words = at.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("set")).toArrow()
     out = np.zeros(bits // 64 + 1, np.uint64)
     out[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint64)
@@ -83,76 +104,70 @@ def _filter(keys: DataFrame, level: int, bits: int) -> np.ndarray:
 
 
 def build(universe: DataFrame) -> Cascade:
-    """A cascade for distinct ``key`` with boolean ``listed``; each level reads only what passed wrongly."""
+    """A cascade for distinct ``host`` with boolean ``listed``; each level reads only what passed wrongly."""
     filters: list[np.ndarray] = []
     bits: list[int] = []
-    level = 0
-    inside, outside = universe.where("listed").select("h1", "h2"), universe.where("not listed").select("h1", "h2")
+    inside, outside = universe.where("listed").select("host"), universe.where("not listed").select("host")
     while (n := inside.count()) or not filters:
-        # An odd size of its own for each level: keys that agree in one size don't in all, so every cascade ends.
-        size = max(64, (FIRST_BITS if not level else MORE_BITS) * n) // 2 * 2 + 1 + 2 * level
-        filters.append(_filter(inside, level, size))
-        bits.append(size)
-        one = universe.sparkSession.sparkContext.broadcast(Cascade([filters[-1]], [size]))
-        passed = common.stored(outside.where(_passes(one, level)(F.col("h1"), F.col("h2"))), "passed")
-        inside, outside, level = passed, inside, level + 1
+        level = len(filters)
+        bits.append(max(64, (MORE_BITS if level else FIRST_BITS) * n))
+        filters.append(_filter(inside, level, bits[-1]))
+        one = universe.sparkSession.sparkContext.broadcast((filters[-1], bits[-1]))
+        passed = common.stored(outside.where(_passes(one)(level_hash(level))), "passed")
+        inside, outside = passed, inside
     return Cascade(filters, bits)
 
 
-def _passes(sent, level: int):
+def _passes(sent):
     @F.pandas_udf("boolean")
-    def passes(first: pd.Series, second: pd.Series) -> pd.Series:
-        words, bits = sent.value.filters[0], sent.value.bits[0]
-        hit = np.ones(len(first), bool)
-        for i in range(HASHES):
-            at = (first.to_numpy() + np.int64(i + HASHES * level) * second.to_numpy()) % np.int64(bits)
-            hit &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
-        return pd.Series(hit)
+    def passes(hashed: pd.Series) -> pd.Series:
+        return pd.Series(_holds(*sent.value, hashed.to_numpy()))
 
     return passes
 
 
 def _asks(sent):
     @F.pandas_udf("boolean")
-    def asks(first: pd.Series, second: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.listed(first.to_numpy(), second.to_numpy()))
+    def asks(*hashed: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.listed(*[h.to_numpy() for h in hashed]))
 
     return asks
 
 
-def filter_urls(pages: DataFrame, listed: Column, rules: tuple[tuple[str, str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url", most_bytes: int = MOST_BYTES) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url", most_bytes: int = MOST_BYTES) -> DataFrame:
     """Verdict on every url: ``page_id, host, path, rule, verdict, listed``.
 
-    ``listed`` is a condition on ``host`` that says which keys of the universe (all hosts of the table) are on the
-    list. The longest fitting rule decides, else the list: block when listed. Null urls and those without ``://``
-    have an empty host and path, fit no rule and are allowed unless the empty host is listed; repeated rows are
-    judged each; an empty table gives an empty table; other columns are not read. Where the filters would exceed
-    ``most_bytes`` the hosts are split by hash, each part with a cascade of its own and a pass over its pages.
+    ``listed`` is a table of any size with a column ``host`` (A-Z count as lower case; nulls and repeated hosts don't matter).
+    The key universe is all hosts of the pages; it meets the list once, when the cascade is built. The longest fitting
+    rule decides, else the list: block when listed. Null urls and those without ``://`` have an empty host and path, fit no rule
+    and are allowed unless the empty host is listed; repeated rows are judged each; urls of any length are read whole; an
+    empty table gives an empty table; other columns are not read. Where the filters would exceed ``most_bytes`` the
+    hosts are split by hash, each part with a cascade of its own and a pass over its pages.
     """
     spark = pages.sparkSession
     ship(spark)
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    low = F.lit((1 << 48) - 1)  # sums of a few dozen stay far from overflow
-    hashes = {"h1": F.xxhash64("host").bitwiseAND(low), "h2": F.xxhash64(F.lit(1), "host").bitwiseAND(low).bitwiseOR(F.lit(1))}
-    universe = common.stored(rows.select("host").distinct().withColumn("listed", F.coalesce(listed, F.lit(False))).withColumns(hashes).select("listed", "h1", "h2"), "universe")
+    on_list = listed.select(_lower(F.col("host").cast("string")).alias("host")).where("host is not null").distinct().withColumn("listed", F.lit(True))
+    universe = common.stored(rows.select("host").distinct().join(on_list, "host", "left").select("host", F.coalesce("listed", F.lit(False)).alias("listed")), "universe")
     need = universe.where("listed").count() * (FIRST_BITS + MORE_BITS) / 8
     parts = max(1, math.ceil(need / most_bytes))
-    judged = rows.withColumns(hashes)
     out = None
     for k in range(parts):
-        mine = F.pmod(F.col("h2").bitwiseXOR(F.col("h1")), F.lit(parts)) == k
-        sent = spark.sparkContext.broadcast(build(universe.where(mine) if parts > 1 else universe))
-        some = (judged.where(mine) if parts > 1 else judged).withColumn("listed", _asks(sent)("h1", "h2"))
+        mine = F.pmod(level_hash(-1), F.lit(parts)) == k
+        cascade = build(universe.where(mine) if parts > 1 else universe)
+        asks = _asks(spark.sparkContext.broadcast(cascade))
+        some = (rows.where(mine) if parts > 1 else rows).withColumn("listed", asks(*[level_hash(i) for i in range(len(cascade.filters))]))
         out = some if out is None else out.unionByName(some)
     rule = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("listed"), "block").otherwise("allow"))
     return out.withColumn("r", rule).select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "listed")
 
 
-def by_labels(labels: tuple[str, ...] = LISTED_LABELS) -> Column:
-    """Hosts with a label that begins with one of the words, alone or before a hyphen or digit; a word further on in a label doesn't count."""
-    return F.col("host").rlike(r"(^|\.)(" + "|".join(labels) + r")([-0-9.]|$)")
+def hosts_with_words(pages: DataFrame, words: tuple[str, ...] = LISTED_WORDS, url_col: str = "url") -> DataFrame:
+    """A list for pages that come without one: their hosts that have one of the words between dots, hyphens or digits."""
+    hosts = pages.select(host_of(F.col(url_col).cast("string")).alias("host")).distinct()
+    return hosts.where(F.arrays_overlap(F.split("host", "[-.0-9]+"), F.array(*map(F.lit, words))))
 
 
 ORACLE_SQL = r"""
@@ -164,7 +179,8 @@ r AS (SELECT *, CASE
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
-    regexp_matches(host, '(^|\.)(adult|casino|porn|xxx|gambling|escort)([-0-9.]|$)') AS listed FROM p)
+    list_has_any(regexp_split_to_array(host, '[-.0-9]+'), ['ads', 'adult', 'advert', 'bet', 'bets', 'betting', 'bingo', 'casino', 'dating', 'escort', 'gambling', 'lottery', 'pharma',
+        'pills', 'poker', 'popup', 'porn', 'sex', 'slots', 'spam', 'tracker', 'tracking', 'viagra', 'warez', 'xxx']) AS listed FROM p)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
        WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM r
 """
