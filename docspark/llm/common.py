@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,12 +20,14 @@ _OWN_DIR: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder takes its place in local mode, where
+    all tasks see it; a cluster without the setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return _OWN_DIR.setdefault("dir", tempfile.mkdtemp(prefix="docspark-"))
 
 

@@ -60,9 +60,10 @@ def best_match(item: str, text: str, masks: dict[str, int]) -> tuple[int, int]:
 class Matcher:
     """All test items of a block behind one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, whole_words: bool = True):
         import ahocorasick
 
+        self.whole_words = whole_words
         self.items = [(i, t, int(error_rate * len(t))) for i, x in items if (t := normalised(x))]
         self.masks: dict[int, dict[str, int]] = {}
         owners: dict[str, list[tuple[int, int]]] = {}
@@ -114,27 +115,28 @@ class Matcher:
     def _verify(self, k: int, text: str, first: int, last: int) -> tuple[int, int] | None:
         _, item, budget = self.items[k]
         if not budget:
-            # Nothing may differ: the item must stand between other than word characters.
-            m = re.compile(rf"(?<!\w){re.escape(item)}(?!\w)").search(text, max(0, first))
+            # Nothing may differ: where wanted, the item must stand between other than word characters.
+            m = re.compile(rf"(?<!\w){re.escape(item)}(?!\w)" if self.whole_words else re.escape(item)).search(text, max(0, first))
             return (0, m.start()) if m and m.start() <= last else None
         low = max(0, first - budget)
         distance, end = best_match(item, text[low : last + len(item) + budget], self._mask(k))
         return (distance, max(0, low + end - len(item))) if distance <= budget else None
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", whole_words: bool = True) -> DataFrame:
     """Which documents hold which test items: one row for each pair of a document row and an item.
 
     Returns ``doc_id, item_id, edit_distance, error_budget, start`` (the place in the normalised text). An item may
-    differ in ``error_rate`` of its characters; an item too short for one error must match as whole
-    words. Null and empty texts and items match nothing; repeated rows answer each; empty tables give an
-    empty table; other columns are not read. Items go to the tasks in blocks of bounded size, one
+    differ in ``error_rate`` of its characters, rounded down. With ``whole_words`` an item for which that is none must
+    stand as whole words, so that a word of a few letters isn't found inside others; without, it may stand anywhere. Null
+    and empty texts and items match nothing; repeated rows answer each, repeated items once; texts are searched whole;
+    empty tables give an empty table; other columns are not read. Items go to the tasks in blocks of bounded size, one
     pass over the documents for each; there is no shuffle of documents.
     """
     rows = common.texts(docs, id_col, text_col)
     out = None
     for sent in _blocks(benchmark, item_col, item_text_col):
-        hits = rows.mapInArrow(_search(sent, error_rate), SCHEMA)
+        hits = rows.mapInArrow(_search(sent, error_rate, whole_words), SCHEMA)
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -149,28 +151,28 @@ def _blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str
         yield benchmark.sparkSession.sparkContext.broadcast(held)
 
 
-def holds_item(benchmark: DataFrame, text: Column, error_rate: float = ERROR_RATE) -> Column:
+def holds_item(benchmark: DataFrame, text: Column, error_rate: float = ERROR_RATE, whole_words: bool = True) -> Column:
     """Whether a text holds a test item, as a column: filters keep whole rows without a join."""
     ship(benchmark.sparkSession)
     found = F.lit(False)
     for sent in _blocks(benchmark):
-        found = found | _holds(sent, error_rate)(text.cast("string"))
+        found = found | _holds(sent, error_rate, whole_words)(text.cast("string"))
     return found
 
 
-def _holds(sent, error_rate: float):
+def _holds(sent, error_rate: float, whole_words: bool):
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(sent.value, error_rate)
+        matcher = Matcher(sent.value, error_rate, whole_words)
         for texts in batches:
             yield pd.Series([bool(matcher.find(t)) for t in texts.fillna("")], dtype=bool)
 
     return holds
 
 
-def _search(sent, error_rate: float):
+def _search(sent, error_rate: float, whole_words: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, error_rate)
+        matcher = Matcher(sent.value, error_rate, whole_words)
         for batch in batches:
             for part in common.slices(batch):
                 found = [(d, *hit) for d, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for hit in matcher.find(x)]

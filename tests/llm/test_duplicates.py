@@ -38,7 +38,7 @@ def brute_components(rows):
 def test_exact(corpus, empty):
     rows = rows_of(corpus)
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t) for _, t in rows]
-    for pages in (2, 16384):
+    for pages in (2, None):
         got = {(r.doc_id, r.text_sha256): r for r in exact_dedup.exact_dedup(corpus, page_keys=pages).collect()}
         assert len(got) == len(rows)
         for (d, _), n in zip(rows, norm, strict=True):
@@ -50,14 +50,29 @@ def test_exact(corpus, empty):
 
 
 def test_directory_doubles(spark):
-    keys = spark.range(4000).selectExpr("xxhash64(id) AS key")
-    depths = exact_dedup.directory(keys, page_keys=100).collect()
-    held = {}
-    for (k,) in keys.collect():
-        cell = (k % (1 << 64)) >> 48
-        depth = next(r.depth for r in depths if r.cell == cell)
-        held.setdefault((depth, cell >> (16 - depth)), []).append(k)
-    assert max(map(len, held.values())) <= 100 and min(d for d, _ in held) >= 5
+    keys = spark.range(4000).selectExpr("xxhash64(id) AS key", "CASE WHEN id = 7 THEN 20000L ELSE 1L END AS rows")
+    bits = exact_dedup.bits_of(4000, 100)
+    cells = exact_dedup.directory(keys, 100, bits).collect()
+    assert bits == 8 and exact_dedup.bits_of(10, 100) == 2 and exact_dedup.bits_of(10**9, exact_dedup.page_of(10**9)) == 15
+    held, shares = {}, {}
+    for k, rows in keys.collect():
+        c = (k % (1 << 64)) >> (64 - bits)
+        (r,) = (x for x in cells if x.cell == c)
+        assert r.start == c >> (bits - r.depth) << (bits - r.depth)
+        held.setdefault((r.depth, r.start), []).append(k)
+        shares[rows] = max(shares.get(rows, 0), r.shares)
+    assert max(map(len, held.values())) <= 100 and min(d for d, _ in held) >= 5 and len({s for _, s in held}) == len(held)
+    assert shares[20000] == 3
+
+
+def test_large_groups_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARE_ROWS", 50)
+    rows = [(i if i % 3 else None, "one  text" if i % 2 else "one text") for i in range(3000)] + [(5000 + i, f"t{i % 400}") for i in range(1000)] + [(None, "no id")] * 70
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for page in (None, 10):
+        got = sorted(map(str, ((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, page).collect())))
+        want = [(d, 1, 3000, d == 1) for d, _ in rows[:3000]] + [(5000 + i, 5000 + i % 400, 2 + (i % 400 < 200), i < 400) for i in range(1000)] + [(None, None, 70, True)] * 70
+        assert got == sorted(map(str, want))
 
 
 def near_corpus(spark, n=60, seed=4):
@@ -105,10 +120,21 @@ def test_components(spark):
     for _ in range(500):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
+    odd = [0, 1, -1, 1 << 40, -(1 << 63), (1 << 63) - 1, 123456789012345678]
+    frame = spark.createDataFrame([(x,) for x in odd], "n long").select("n", components._mixed("n").alias("m"))
+    assert all(r.n == r.p for r in frame.select("n", components._plain("m").alias("p")).collect()) and len({r.m for r in frame.collect()}) == len(odd)
     got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: m for v, m in root.items() if v in got} and all(root[v] == v for v in set(root) - set(got))
 
 
+def test_a_chain_of_rising_ids_takes_few_rounds(spark, monkeypatch):
+    kept, names = components.common.stored, []
+    monkeypatch.setattr(components.common, "stored", lambda df, name: names.append(name) or kept(df, name))
+    found = components.components(spark.createDataFrame([(i, i + 1) for i in range(1500)], "a long, b long"))
+    assert {r.root for r in found.select("root").distinct().collect()} == {0} and found.count() == 1501
+    assert names.count("edges") <= 12
+
+
 def distance(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
@@ -153,3 +179,16 @@ def test_decontamination(spark, empty):
     assert got == want | {(102, 10): 0}
     assert decontaminate.contaminated(empty, spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_decontamination_of_odd_rows(spark, corpus):
+    """Repeated rows and items, a very long text, and columns whose names clash with the operator's own."""
+    item = "seven wizards brew strange tea in the old stone tower near the river"
+    items = spark.createDataFrame([(1, item, "a", 5), (1, item, "a", 5), (2, item, "b", 6), (3, "jumps", None, None)], "item_id long, text string, doc_id string, start long")
+    long = "filler words " * 40_000 + item.replace("tea", "tee") + " end" * 1000
+    docs = corpus.unionByName(spark.createDataFrame([(70, long, None, None, None, None, None)] * 2, corpus.schema)).withColumnRenamed("key", "item_id").withColumnRenamed("token", "edit_distance")
+    got = sorted((r.doc_id, r.item_id, r.edit_distance) for r in decontaminate.contaminated(docs, items).collect())
+    want = [(d, i, 0) for d in (0, 1, 2, 10) for i in (1, 2, 3)] + [(70, i, 1) for i in (1, 2)] * 2
+    assert got == sorted(want)
+    tiny = spark.createDataFrame([(1, "wizard")], "item_id long, text string")
+    assert decontaminate.contaminated(docs, tiny).count() == 0 and decontaminate.contaminated(docs, tiny, whole_words=False).count() == 6
