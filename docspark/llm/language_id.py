@@ -20,7 +20,6 @@ from docspark.llm import common
 from docspark.packaging import ship
 
 BUCKETS = 2048
-MAX_LANGUAGES = 256
 SAMPLE_ROWS = 4000
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -93,19 +92,20 @@ def fit(x: np.ndarray, languages: list[str], steps: int = 150, ridge: float = 1e
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fit on about ``sample_rows`` labelled rows, spread evenly over at most ``MAX_LANGUAGES`` languages.
+    """Fit on about ``sample_rows`` labelled rows, spread evenly over all languages, at least one each.
 
-    Rows are taken by a hash of id and text; the bound holds whatever the corpus. None without labelled rows.
+    Rows are taken by a hash of id and text, those of the least hash where the bound binds; it holds whatever the corpus. None
+    without labelled rows.
     """
     rows = common.texts(docs, id_col, text_col)
     labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return None
     each = -(-sample_rows // len(counts))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, 1.1 * each / r["count"]))])
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, (1.1 * each + 3) / r["count"]))])
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
-    sample = labelled.where(place < F.coalesce(share[F.col("lang")], F.lit(0.0))).limit(2 * sample_rows)
+    sample = labelled.withColumn("place", place).where(F.col("place") < share[F.col("lang")]).orderBy("place", "doc_id").limit(2 * sample_rows + 4 * len(counts)).drop("place")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,17 +135,18 @@ def _judged(model: Model | None, texts: list[str], margin: float) -> tuple[list[
     return lang, score, unsure
 
 
-def language(spark: SparkSession, model: Model | None, text: Column) -> Column:
-    """The same judgement as a column, for filters that keep whole rows without a join."""
+def in_a_language(spark: SparkSession, model: Model | None, text: Column, least: float, wanted: tuple[str, ...] | None = None) -> Column:
+    """Whether the predicted language is known (one of ``wanted``, if given) and its score reaches ``least``: a column, for filters that keep whole rows without a join."""
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def judge(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("boolean")
+    def asks(texts: pd.Series) -> pd.Series:
         held = texts.fillna("").tolist()
-        return pd.Series([x for i in range(0, len(held), 512) for x in _judged(sent.value, held[i : i + 512], 0.0)[0]], dtype=object)
+        parts = [_judged(sent.value, held[i : i + 512], 0.0)[:2] for i in range(0, len(held), 512)]
+        return pd.Series([x != "und" and s >= least and (wanted is None or x in wanted) for lang, score in parts for x, s in zip(lang, score, strict=True)], dtype=bool)
 
-    return judge(text.cast("string"))
+    return asks(text.cast("string"))
 
 
 def has_letter(spark: SparkSession, text: Column) -> Column:

@@ -63,6 +63,55 @@ def test_added_spans(spark):
     assert not any(got[i] for i in (2, 3, 4, 5))
 
 
+# Personal data in running text, written by hand for this test and apart from the constructed examples.
+WRITTEN = [
+    ("Please send the draft to maria.lopez [at] uni-hamburg [dot] de before Friday.", "maria.lopez [at] uni-hamburg [dot] de"),
+    ("you can reach me under tom_b (at) posteo (dot) net, mornings only", "tom_b (at) posteo (dot) net"),
+    ("My new address is k.meyer{at}webmail.org since March.", "k.meyer{at}webmail.org"),
+    ("Contact: info [AT] gardenclub [DOT] org", "info [AT] gardenclub [DOT] org"),
+    ("questions go to the secretary, anna99 [at] example.fr", "anna99 [at] example.fr"),
+    ("Call the office on (212) 555-0187 after nine.", "(212) 555-0187"),
+    ("Tel. 415-555-0132 or leave a note at the door", "415-555-0132"),
+    ("fax: 020 7946 0958 (London)", None),
+    ("The hotline (800) 555-0199 is open all night", "(800) 555-0199"),
+    ("mobile 0171/5550123, evenings", "0171/5550123"),
+    ("phone 310.555.0145 ext 4", "310.555.0145"),
+    ("Charged to card 4111.1111.1111.1111 on the ninth", "4111.1111.1111.1111"),
+    ("visa 4539 1488 0343 6467, expires soon", None),  # a base span
+    ("she read out 5555/5555/5555/4444 over the phone", "5555/5555/5555/4444"),
+    ("the server 2001:0db8:85a3:0000:0000:8a2e:0370:7334 was down", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"),
+    ("ping fe80:0:0:0:202:b3ff:fe1e:8329 from the lab", "fe80:0:0:0:202:b3ff:fe1e:8329"),
+]
+HARMLESS = [
+    "We met at noon and the dot on the map was red.", "The meeting on 2024-05-17 runs from 10:30 to 12:45.", "ISBN 978-3-16-148410-0 is out of print.", "See pages 12-17, 45-48 and 101.",
+    "Version 10.4.22.1 fixes the bug.", "Order no 20231145871 has shipped.", "In 1990 there were 1.250.300 people, in 2000 1.310.450.", "look at example.com for more", "The ratio 16:9:4:3:2 was chosen.",
+    "token = 9f86d081884c7d659a2feaa0c55ad015", "Invoice 4785380592391131 is overdue.", "They sat at home. dot matrix printers hummed.", "coordinates 52.5200 13.4050", "The score was 3-2, 4-1 and 0-0.",
+]
+
+
+def test_recall_on_written_text(spark):
+    texts = [t for t, _ in WRITTEN] + HARMLESS
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    added = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.added] for r in pii.find_spans(docs).collect()}
+    wanted = [(i, w) for i, (_, w) in enumerate(WRITTEN) if w]
+    caught = [w for i, w in wanted if w in added[i]]
+    wrong = {texts[i]: added[i] for i in range(len(WRITTEN), len(texts)) if added[i]}
+    print(len(caught), len(wanted), [w for _, w in wanted if w not in caught], wrong)
+    assert len(caught) >= 0.8 * len(wanted) and len(wrong) <= 1
+
+
+def test_training_does_not_depend_on_partitions(spark):
+    one = pii.Scorer(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "7")
+    try:
+        two = pii.Scorer(spark)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert one.sql == two.sql and one.thresholds == two.thresholds
+
+
 @pytest.mark.parametrize("text", ["jane {at} example.com", "jane [ at ] example.com", "jane ( at ) example.com", "JANE [AT] EXAMPLE [DOT] COM", "jane at example.com"])
 def test_spelled_addresses_need_nothing_elsewhere(spark, text):
     pattern = pii.CANDIDATES["spelled"]
@@ -288,7 +337,13 @@ def test_language(spark, corpus, empty):
     assert language_id.train(empty) is None and {r.lang_pred for r in language_id.identify(corpus, None).collect()} == {"und"}
 
 
-@pytest.mark.parametrize("k", [1, 2, 4, 7, 8, 30])
+def test_many_languages_are_all_learned(spark):
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 12)}{w}" for w in "abcdefgh") * 4, f"l{i % 300}") for i in range(1200)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=600)
+    assert len(model.languages) == 300
+
+
+@pytest.mark.parametrize("k", [1, 2, 4, 7, 8, 30, 1000])
 def test_codewords_differ(k):
     codes = language_id.codewords(k)
     assert codes.shape[0] == k and len({tuple(c) for c in codes.tolist()}) == k
