@@ -52,14 +52,13 @@ def _decimal(token: Column, mark: str) -> Column:
 
 def parse_token(token: Column) -> Column:
     """One number token as double, or null where its groups are broken."""
-    return let(clean_token(token), _read_token)
+    return let(clean_token(token), lambda t: F.when(t.rlike(r"^\d[\d.,]*$"), _read_token(t)))
 
 
 def _read_token(t: Column) -> Column:
     """The rules, for a clean token as ``number_tokens`` gives it."""
     return (
-        F.when(~t.rlike(r"^\d[\d.,]*$"), None)
-        .when(t.rlike(r"^\d+$"), t.try_cast("double"))
+        F.when(~t.contains(".") & ~t.contains(","), t.try_cast("double"))
         .when(t.rlike(r"^\d{1,3}(,\d{3})+\.\d+$"), _decimal(t, "."))
         .when(t.rlike(r"^\d{1,3}(\.\d{3})+,\d+$"), _decimal(t, ","))
         .when(t.contains(".") & t.contains(","), None)
@@ -84,14 +83,19 @@ def _count_decimals(t: Column) -> Column:
 
 def parse_number(text: Column) -> Column:
     """Of several numbers the last with two or more decimals, else the last readable one."""
-    read = F.transform(number_tokens(text), lambda t: F.struct(_read_token(t).alias("v"), _count_decimals(t).alias("d")))
+    return let(number_tokens(text), _choose_number)
+
+
+def _choose_number(tokens: Column) -> Column:
+    """The number that a text's tokens mean; they are named several times, so they must be computed already."""
+    read = F.transform(tokens, lambda t: F.struct(_read_token(t).alias("v"), _count_decimals(t).alias("d")))
 
     def choose(p: Column) -> Column:
         precise = F.try_element_at(F.filter(p, lambda x: x["d"] >= 2), F.lit(-1))
         last = F.try_element_at(F.filter(p, lambda x: x["v"].isNotNull()), F.lit(-1))
-        return F.when(F.size(p) == 1, p.getItem(0)["v"]).when(F.exists(p, lambda x: x["d"] >= 2), precise["v"]).otherwise(last["v"])
+        return F.when(F.exists(p, lambda x: x["d"] >= 2), precise["v"]).otherwise(last["v"])
 
-    return F.when(text.rlike(r"\d"), let(read, choose))
+    return F.when(F.size(tokens) == 1, _read_token(F.get(tokens, F.lit(0)))).when(F.size(tokens) > 1, let(read, choose))
 
 
 def first_number(text: Column) -> Column:
@@ -102,15 +106,17 @@ def first_number(text: Column) -> Column:
 def field_status(raw: Column, field: str) -> Column:
     """Struct ``valor, estado, motivo`` of a raw text cell (N9 with the bounds of P9)."""
     low, high = RANGES.get(field, (float("-inf"), float("inf")))
-    blank = raw.isNull() | (F.trim(raw) == "")
 
     def judge(s: Column) -> Column:
-        value, n = s["v"], s["n"]
+        value, n, blank = s["v"], s["n"], s["blank"]
         state = F.when(blank, "vacio").when(value.isNull(), "no_parseable").when(~value.between(low, high), "fuera_rango").when(n > 1, "limpio").otherwise("ok")
         reason = F.when(blank, "vacio").when(value.isNull(), F.when(n > 1, NO_RELIABLE).otherwise(NO_READING)).when(~value.between(low, high), f"fuera del rango plausible para '{field}'").when(n > 1, SEVERAL).otherwise("")
         return F.struct(F.when(~blank & value.between(low, high), value).alias("valor"), state.alias("estado"), reason.alias("motivo"))
 
-    return let(F.struct(parse_number(raw).alias("v"), F.size(number_tokens(raw)).alias("n")), judge)
+    def read(s: Column) -> Column:
+        return let(F.struct(_choose_number(s["t"]).alias("v"), F.size(s["t"]).alias("n"), (s["r"].isNull() | (F.trim(s["r"]) == "")).alias("blank")), judge)
+
+    return let(raw, lambda r: let(F.struct(r.alias("r"), number_tokens(r).alias("t")), read))
 
 
 def readings(token: Column) -> Column:

@@ -96,9 +96,13 @@ def segments(tokens: DataFrame, anchors: DataFrame, dy: float = 8.0, gap: float
 def anchor_bands(tokens: DataFrame, tolerance: float = 28.0) -> DataFrame:
     """Tokens with ``band``: in (y, x) order a token joins the band whose first token is within the tolerance.
 
-    The anchor does not move with the chain, so the fold runs over a document's ordered tokens.
+    The anchor does not move with the chain, so bands need a fold; but a gap over the tolerance always starts one, so the
+    fold runs within runs of tokens without such a gap, not over whole documents.
     """
-    ordered = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "seq"))).alias("ts"))
+    w = Window.partitionBy("doc_id").orderBy("y", "x", "seq")
+    step = F.when(F.col("y") - F.lag("y").over(w) <= tolerance, 0).otherwise(1)
+    runs = tokens.select("doc_id", "y", "x", "seq", step.alias("step")).withColumn("run", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = runs.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("y", "x", "seq"))).alias("ts"))
     folded = F.aggregate(
         "ts",
         F.struct(F.lit(0).alias("band"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<struct<seq:bigint,band:int>>").alias("out")),
@@ -106,7 +110,10 @@ def anchor_bands(tokens: DataFrame, tolerance: float = 28.0) -> DataFrame:
         .otherwise(F.struct(a["band"].alias("band"), a["anchor"].alias("anchor"), F.array_append(a["out"], F.struct(t["seq"].cast("bigint").alias("seq"), a["band"].alias("band"))).alias("out"))),
         lambda a: a["out"],
     )
-    return tokens.join(ordered.select("doc_id", F.explode(folded).alias("b")).select("doc_id", F.col("b.seq").alias("seq"), F.col("b.band").alias("band")), ["doc_id", "seq"])
+    banded = ordered.select("doc_id", "run", folded.alias("bs")).withColumn("held", F.array_max(F.transform("bs", lambda b: b["band"])))
+    before = banded.withColumn("before", F.sum("held").over(Window.partitionBy("doc_id").orderBy("run").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held"))
+    placed = before.select("doc_id", "before", F.explode("bs").alias("b")).select("doc_id", F.col("b.seq").alias("seq"), (F.col("before") + F.col("b.band")).cast("int").alias("band"))
+    return tokens.join(placed, ["doc_id", "seq"])
 
 
 def litres_of_tokens(tokens: DataFrame) -> DataFrame:

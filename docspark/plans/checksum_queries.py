@@ -43,6 +43,12 @@ def key_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KEYED = f"WITH {tables.KEYS_SQL}, keyed AS (SELECT *, base || CAST({duck.check_digit('base')} AS VARCHAR) AS key FROM bases)"
 _VALID = lambda k: f"(CAST({duck.check_digit(f'substr({k}, 1, 43)')} AS VARCHAR) = substr({k}, 44, 1))"
+# All single changes: the weighted sum is taken once for a key, and each change shifts it. Input: o_orderkey, cnpj, k.
+_REPAIRS = """summed AS MATERIALIZED (SELECT *, list_sum(list_transform(range(0, 43), lambda i: CAST(k[43 - i] AS INT) * (i % 8 + 2))) AS total, CAST(k[44] AS INT) AS last FROM {}),
+        changes AS (SELECT o_orderkey, cnpj, k, j, d, last, CASE WHEN j <= 43 THEN total + (d - CAST(k[j] AS INT)) * ((43 - j) % 8 + 2) ELSE total END AS shifted FROM summed, range(1, 45) a(j), range(0, 10) b(d) WHERE d <> CAST(k[j] AS INT)),
+        fitting AS (SELECT *, substr(k, 1, CAST(j AS INT) - 1) || CAST(d AS VARCHAR) || substr(k, CAST(j AS INT) + 1, 44) AS cand FROM changes
+            WHERE CASE WHEN 11 - shifted % 11 >= 10 THEN 0 ELSE 11 - shifted % 11 END = CASE WHEN j <= 43 THEN last ELSE d END),
+        repairs AS (SELECT o_orderkey, arg_min(cand, j * 10 + d) AS cand FROM fitting WHERE substr(cand, 7, 14) = cnpj GROUP BY 1)"""
 ORACLE_SQL = {
     "dv_compute": f"WITH {tables.KEYS_SQL} SELECT o_orderkey, CAST({duck.check_digit('base')} AS INT) AS dv FROM bases",
     "dv_validate": f"{_KEYED} SELECT o_orderkey, o_orderkey % 3 <> 0 AS valid FROM keyed",
@@ -50,7 +56,6 @@ ORACLE_SQL = {
         SELECT o_orderkey, arg_min(k, i) FILTER ({_VALID('k')}) AS key FROM w GROUP BY 1""",
     "key_slices": f"{_KEYED} SELECT o_orderkey, substr(key, 7, 14) AS cnpj, substr(key, 21, 2) AS modelo, substr(key, 23, 3) AS serie FROM keyed",
     "key_repair": f"""{_KEYED}, wrong AS (SELECT o_orderkey, cnpj, substr(key, 1, 30) || CAST((CAST(substr(key, 31, 1) AS INT) + 1) % 10 AS VARCHAR) || substr(key, 32, 13) AS k FROM keyed),
-        c AS (SELECT o_orderkey, cnpj, k, j, d, substr(k, 1, CAST(j AS INT) - 1) || CAST(d AS VARCHAR) || substr(k, CAST(j AS INT) + 1, 44) AS cand FROM wrong, range(1, 45) a(j), range(0, 10) b(d))
-        SELECT o_orderkey, arg_min(cand, j * 10 + d) FILTER (cand <> k AND substr(cand, 7, 14) = cnpj AND {_VALID('cand')}) AS repaired FROM c GROUP BY 1""",
+        {_REPAIRS.format('wrong')} SELECT w.o_orderkey, r.cand AS repaired FROM wrong w LEFT JOIN repairs r USING (o_orderkey)""",
 }
 QUERIES = {f.__name__: f for f in (dv_compute, dv_validate, window_valid_key, key_slices, key_repair)}

@@ -45,7 +45,9 @@ def anchor_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.document_model(tables.event_tokens(spark, sf_dir)).select("doc_id", "pages", "modelo")
+    """Pages, model and first address of a document; some tokens name a model or an address."""
+    named = F.when(F.col("seq") % 97 == 0, F.lit("DANFE simplificado")).when(F.col("seq") % 41 == 0, F.lit("NF-e no 1")).when(F.col("seq") % 29 == 0, F.concat(F.lit("http://x/"), F.col("seq").cast("string")))
+    return layout.document_model(tables.event_tokens(spark, sf_dir).withColumn("text", F.coalesce(named, "text"))).select("doc_id", "pages", "modelo", "qr")
 
 
 def text_recompose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +91,9 @@ ORACLE_SQL = {
     "anchor_bands": f"""{_T}, n AS (SELECT doc_id, seq, y, row_number() OVER (PARTITION BY doc_id ORDER BY y, x, seq) AS k FROM tokens),
         b AS (SELECT doc_id, seq, k, y AS anchor, 1 AS band FROM n WHERE k = 1 UNION ALL SELECT n.doc_id, n.seq, n.k, CASE WHEN n.y - b.anchor > 28 THEN n.y ELSE b.anchor END, CASE WHEN n.y - b.anchor > 28 THEN b.band + 1 ELSE b.band END FROM b JOIN n ON n.doc_id = b.doc_id AND n.k = b.k + 1)
         SELECT doc_id, seq, band FROM b""",
-    "page_count": f"{_T} SELECT doc_id, count(DISTINCT page) AS pages, 'desconhecido' AS modelo FROM tokens GROUP BY 1",
+    "page_count": f"""{_T}, n AS (SELECT doc_id, seq, page, CASE WHEN seq % 97 = 0 THEN 'DANFE simplificado' WHEN seq % 41 = 0 THEN 'NF-e no 1' WHEN seq % 29 = 0 THEN 'http://x/' || CAST(seq AS VARCHAR) ELSE text END AS t FROM tokens),
+        k AS (SELECT *, regexp_replace(lower(t), '[^a-z0-9]', '', 'g') AS c FROM n)
+        SELECT doc_id, count(DISTINCT page) AS pages, CASE WHEN bool_or(contains(c, 'danfe')) THEN 'NF-e (DANFE)' WHEN bool_or(contains(c, 'nfe')) THEN 'NF-e' ELSE 'desconhecido' END AS modelo, arg_min(t, seq) FILTER (contains(t, 'http')) AS qr FROM k GROUP BY 1""",
     "text_recompose": f"{_T} SELECT doc_id, string_agg('[p' || CAST(page AS VARCHAR) || ' y=' || CAST(CAST(y AS BIGINT) AS VARCHAR) || ' x=' || CAST(CAST(x AS BIGINT) AS VARCHAR) || '] ' || text, chr(10) ORDER BY y, x, seq) AS full_text FROM tokens GROUP BY 1",
     "sorted_join": f"{_T}, f AS (SELECT doc_id, x AS lx, y AS ly FROM tokens WHERE seq % 5 = 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq) = 1) SELECT t.doc_id, string_agg(text, ' | ' ORDER BY text) AS extra FROM tokens t JOIN f ON f.doc_id = t.doc_id WHERE y > ly AND x < lx + 1400 GROUP BY 1",
     "nearest_column": f"""{_T}, h AS (SELECT doc_id, 'c' || CAST(seq % 4 AS VARCHAR) AS name, min(x) AS cx FROM tokens WHERE seq % 7 = 0 GROUP BY 1, 2)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import cells
 from docspark.operators import flatten, merge
-from docspark.plans import tables
+from docspark.plans import duck, tables
 
 
 def nested_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,10 @@ ORACLE_SQL = {
     "column_filter": "SELECT o_orderkey, 'f' || CAST(o_custkey AS VARCHAR) AS arquivo, o_orderpriority AS serie, replace(regexp_replace(CAST(o_totalprice AS VARCHAR), '[.]0$', ''), '.', ',') AS valor_da_nota FROM orders",
     "completeness": f"""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 OR m <> '' THEN 'parcial' ELSE 'completa' END AS status,
         CASE WHEN o_orderkey % 11 = 0 THEN 'digito verificador invalido' WHEN m <> '' THEN 'campos nucleares ausentes: ' || m END AS motivo FROM (SELECT o_orderkey, concat_ws(', ', {', '.join(_CORE)}) AS m FROM orders)""",
-    "suspicious_products": "SELECT l_orderkey, l_linenumber, l_linenumber IN (1, 2, 4) AS suspicious, l_linenumber IN (1, 2, 3, 4) AS bad FROM lineitem",
+    "suspicious_products": f"""WITH c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'A1234567890123456' ELSE 'AB12' END AS codigo, CASE WHEN l_linenumber = 2 THEN 'TONELADA' ELSE 'TON' END AS unidade,
+            CASE WHEN l_linenumber = 3 THEN '0,0017,000,00' ELSE '1,00' END AS quantidade, CASE WHEN l_linenumber = 4 THEN '1 2' ELSE {duck.brazilian('l_extendedprice')} END AS valor_total FROM lineitem),
+        s AS (SELECT *, contains(trim(codigo), ' ') OR contains(trim(unidade), ' ') OR contains(trim(quantidade), ' ') OR contains(trim(valor_total), ' ') OR length(codigo) > 15 OR length(unidade) > 5 AS suspicious FROM c)
+        SELECT l_orderkey, l_linenumber, suspicious, suspicious OR {duck.number('quantidade')} IS NULL OR {duck.number('valor_total')} IS NULL AS bad FROM s""",
     "upsert_fill_only": f"""WITH {tables.VERSIONS_SQL} SELECT coalesce(o.key, n.key) AS key, coalesce(nullif(trim(o.status), ''), n.status, o.status) AS status, coalesce(o.priority, n.priority) AS priority, coalesce(o.total, n.total) AS total FROM old o FULL JOIN new n ON o.key = n.key""",
     "upsert_replace": f"WITH {tables.VERSIONS_SQL}, u AS (FROM old UNION ALL FROM new) SELECT key, arg_max(version, version) AS version, max_by({{'s': status}}, version).s AS status, max_by({{'p': priority}}, version).p AS priority, max_by({{'t': total}}, version).t AS total FROM u GROUP BY 1",
     "only_new_anti": f"WITH {tables.VERSIONS_SQL} SELECT key, status, priority, total FROM new WHERE key NOT IN (SELECT key FROM old)",

@@ -66,17 +66,17 @@ bases AS (SELECT o_orderkey, lpad(CAST(o_custkey * 7919 + 10000000000 AS VARCHAR
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders in two overlapping versions with blanks: ``key, version, status, priority, total``."""
+    """Orders in two overlapping versions with blanks, each order in one at least: ``key, version, status, priority, total``."""
     o = read(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    old = o.where(k % 3 != 0).select(k.alias("key"), F.lit(1).alias("version"), F.when(k % 4 == 0, F.lit(" ")).otherwise(F.col("o_orderstatus")).alias("status"), F.when(k % 5 == 0, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("priority"), F.when(k % 7 == 0, F.lit(None)).otherwise(F.col("o_totalprice")).alias("total"))
+    old = o.where((k % 3 != 0) | (k % 2 == 1)).select(k.alias("key"), F.lit(1).alias("version"), F.when(k % 4 == 0, F.lit(" ")).otherwise(F.col("o_orderstatus")).alias("status"), F.when(k % 5 == 0, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("priority"), F.when(k % 7 == 0, F.lit(None)).otherwise(F.col("o_totalprice")).alias("total"))
     new = o.where(k % 2 == 0).select(k.alias("key"), F.lit(2).alias("version"), F.col("o_orderstatus").alias("status"), F.concat(F.col("o_orderpriority"), F.lit("*")).alias("priority"), (F.col("o_totalprice") + 1).alias("total"))
     return old.unionByName(new)
 
 
 VERSIONS_SQL = """
 old AS (SELECT o_orderkey AS key, 1 AS version, CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS priority,
-    CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS total FROM orders WHERE o_orderkey % 3 <> 0),
+    CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS total FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 1),
 new AS (SELECT o_orderkey AS key, 2 AS version, o_orderstatus AS status, o_orderpriority || '*' AS priority, o_totalprice + 1 AS total FROM orders WHERE o_orderkey % 2 = 0)"""
 
 
