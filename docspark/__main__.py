@@ -9,8 +9,26 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from docspark.operators import flatten, normalise
+from docspark.operators.flatten import RECORD_SCHEMA
 from docspark.sources import files, sinks
 
+MOST_LINES = 1000  # errors that are printed; all are counted
+
+
+def validate(spark: SparkSession, path: str) -> int:
+    """Prints the cells of numeric fields that hold something but no number; 1 if there is any, else 0."""
+    store = files.json_store(spark, path, RECORD_SCHEMA.replace("double", "string"))
+    wrong = lambda c: (F.trim(c) != "") & c.try_cast("double").isNull()
+    cell = lambda level, f, c: F.when(wrong(c), F.concat_ws(" ", F.concat_ws(".", F.lit(level), F.lit(f)), F.lit("="), c))
+    own = F.array(*[cell("nota", f, F.col(f)) for f in normalise.RECORD_FIELDS])
+    items = F.flatten(F.transform(F.coalesce("produtos", F.array()), lambda p: F.array(*[cell("prod", f, p[f]) for f in normalise.ITEM_FIELDS])))
+    judged = store.select("arquivo", F.size(F.coalesce("produtos", F.array())).alias("items"), F.array_compact(F.concat(own, items)).alias("bad"))
+    n = judged.agg(F.count("*").alias("records"), F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.coalesce(F.sum(F.size("bad")), F.lit(0)).alias("errors")).first()
+    print(", ".join(f"{k}: {v}" for k, v in n.asDict().items()))
+    for r in judged.select("arquivo", F.explode("bad").alias("cell")).orderBy("arquivo", "cell").limit(MOST_LINES).collect():
+        print(f"  - {r.arquivo} {r.cell}")
+    return 1 if n.errors else 0
+
 
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="docspark", description=__doc__)
@@ -23,6 +41,8 @@ def main(args: list[str] | None = None) -> int:
     if o.action in ("csv", "normalise") and not o.out:
         p.error(f"{o.action} needs --out")
     spark = SparkSession.builder.appName("docspark").getOrCreate()
+    if o.action == "validate":
+        return validate(spark, o.json)
     store = files.json_store(spark, o.json)
     if o.action == "csv":
         sinks.write_csv(flatten.to_cells(store, o.columns.split(",") if o.columns else None, o.with_text), o.out)

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with accents and the letters they lose them to.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿºª²³¹"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyoa231"
+
+
+def _folded() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility form without marks is one other character, those characters, and the ligatures and the like that become several."""
+    one, several = {}, {}
+    for code in (*range(0xA0, 0x2100), *range(0x2100, 0x2500), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)):
+        c = chr(code)
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(bare) == 1 and bare != c:
+            one[c] = bare
+        elif len(bare) > 1 and bare.isascii() and bare.isalpha():
+            several[c] = bare
+    return "".join(one), "".join(one.values()), several
+
+
+ACCENTED, PLAIN, LIGATURES = _folded()
 # Units of measure, those of volume, and marks that end a description.
 UNITS = (
     "TON", "TONS", "TN", "KG", "KGL", "KGS", "KGSC", "UN", "UND", "UNID", "UNI", "PC", "PCS", "L", "LT", "M", "M2", "M3", "SC", "CX",
@@ -23,8 +38,16 @@ VALUE = r"\d{1,3}(?:\.\d{3})*,\d{2}"
 
 
 def strip_accents(text: Column) -> Column:
-    """Latin letters without their accents, ordinal and raised signs as letters and digits."""
-    return F.translate(text, ACCENTED, PLAIN)
+    """Compatibility forms without combining marks: letters lose their accents, ligatures part, raised and circled signs become plain."""
+
+    def fold(t: Column) -> Column:
+        parted = t
+        for c, letters in LIGATURES.items():
+            parted = F.replace(parted, F.lit(c), F.lit(letters))
+        plain = F.translate(F.when(t.rlike("[" + "".join(LIGATURES) + "]"), parted).otherwise(t), ACCENTED, PLAIN)
+        return F.regexp_replace(plain, r"\p{Mn}+", "")
+
+    return F.when(text.rlike(r"[^\x00-\x7F]"), fold(text)).otherwise(text)
 
 
 def normalise(text: Column) -> Column:

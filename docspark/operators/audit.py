@@ -49,8 +49,18 @@ def type_errors(cells: DataFrame, fields: list[str]) -> DataFrame:
     return cells.select(F.explode(each).alias("c")).groupBy("c.campo").agg(F.count("*").alias("checked"), F.count_if((F.col("c.raw") != "") & F.col("c.raw").try_cast("double").isNull()).alias("errors"))
 
 
+def by_file(audit: DataFrame) -> DataFrame:
+    """Per file its cells, those that are fine, and those to review by field: ``archivo, celdas, bien, revisar``."""
+    review = F.col("estado").isin(*numbers.TO_REVIEW)
+    fields = audit.groupBy("archivo", "campo").agg(F.count("*").alias("n"), F.count_if(F.col("estado").isin("ok", "limpio")).alias("fine"), F.count_if(review).alias("bad"))
+    named = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("bad") > 0, F.struct("campo", "bad")))), lambda x: F.concat_ws(" ", x["campo"], x["bad"])), ", ")
+    return fields.groupBy("archivo").agg(F.sum("n").alias("celdas"), F.sum("fine").alias("bien"), named.alias("revisar"))
+
+
 def report(audit: DataFrame) -> DataFrame:
-    """The text report as ordered lines (K3): counts, then numbered anomalies."""
+    """The text report as ordered lines (K3): counts, the matrix of fields and statuses, numbered anomalies, detail by file."""
     head = status_counts(audit).select(F.lit(0).alias("part"), F.col("nr").cast("long").alias("nr"), F.concat_ws(": ", "estado", "n").alias("line"))
     body = anomalies(audit).select(F.lit(1).alias("part"), F.col("nr").cast("long").alias("nr"), F.concat_ws(" | ", F.col("nr"), "archivo", "campo", F.coalesce("crudo", F.lit("")), "estado").alias("line"))
-    return head.unionByName(body)
+    matrix = status_matrix(audit).select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy("campo", "estado")).cast("long").alias("nr"), F.concat_ws(" | ", "campo", "estado", "n").alias("line"))
+    files = by_file(audit).select(F.lit(3).alias("part"), F.xxhash64("archivo").alias("nr"), F.concat_ws(" | ", "archivo", "celdas", "bien", "revisar").alias("line"))
+    return head.unionByName(matrix).unionByName(body.withColumn("part", F.lit(2))).unionByName(files)

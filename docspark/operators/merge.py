@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from docspark.functions.cells import is_empty
 
@@ -13,14 +14,40 @@ def first_filled(value: Column, version: Column, kind: str = "string") -> Column
     return F.coalesce(F.min_by(F.when(~is_empty(value, kind), value), F.when(~is_empty(value, kind), version)), F.min_by(value, version))
 
 
+def kinds_of(rows: DataFrame) -> dict[str, str]:
+    """How emptiness is judged for each column."""
+    return {f.name: _kind(f.dataType) for f in rows.schema}
+
+
+def _kind(of: DataType) -> str:
+    return "string" if isinstance(of, StringType) else "array" if isinstance(of, ArrayType) else "other"
+
+
+def _filled(value: Column, of: DataType, version: Column) -> Column:
+    """A field's first filled value; the fields of a struct each for themselves, at any depth."""
+    if not isinstance(of, StructType):
+        return first_filled(value, version, _kind(of))
+    inner = F.struct(*[_filled(value[f.name], f.dataType, version).alias(f.name) for f in of])
+    return F.when(F.max(value.isNotNull()), inner)
+
+
 def fill_only(versions: DataFrame, key: str = "key", version: str = "version") -> DataFrame:
-    """One row for each key: every scalar field from the earliest version that fills it.
+    """One row for each key: every field from the earliest version that fills it, nested fields each for themselves.
 
-    First-filled is associative, so this is a grouped aggregate that combines before the shuffle.
+    Arrays of structs are merged place by place in the same way, and the longest one's tail stays; other arrays are taken whole. First-filled is
+    associative, so all are grouped aggregates that combine before the shuffle; no key's versions meet in one list.
     """
-    kinds = dict(versions.dtypes)
-    fields = [c for c in versions.columns if c not in (key, version)]
-    return versions.groupBy(key).agg(*[first_filled(F.col(c), F.col(version), "string" if kinds[c] == "string" else "array" if kinds[c].startswith("array") else "other").alias(c) for c in fields])
+    lists = [f for f in versions.schema if isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType)]
+    plain = [f for f in versions.schema if f.name not in (key, version) and f not in lists]
+    v = F.col(version)
+    merged = versions.groupBy(key).agg(*[_filled(F.col(f.name), f.dataType, v).alias(f.name) for f in plain], *[F.max(F.col(f.name).isNotNull()).alias(f"_has_{f.name}") for f in lists])
+    for f in lists:
+        each = versions.select(key, version, F.posexplode(f.name).alias("_at", "_item"))
+        items = each.groupBy(key, "_at").agg(_filled(F.col("_item"), f.dataType.elementType, v).alias("_item"))
+        again = items.groupBy(F.col(key).alias("_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_item"))), lambda x: x["_item"]).alias(f.name))
+        none = F.when(F.col(f"_has_{f.name}"), F.array().cast(f.dataType))
+        merged = merged.join(again, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(f.name, F.coalesce(f.name, none)).drop("_key", f"_has_{f.name}")
+    return merged.select(key, *[c for c in versions.columns if c not in (key, version)])
 
 
 def merge_items(old: Column, new: Column, fields: list[str]) -> Column:

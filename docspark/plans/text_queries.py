@@ -81,7 +81,7 @@ _PARTS = "CASE p_partkey % 4 WHEN 0 THEN ['31042090', '020', k, 'TN'] WHEN 1 THE
 _PART_K = "(SELECT p_partkey, CAST(p_partkey % 9000 + 1000 AS VARCHAR) AS k FROM part)"
 _UNITS = ", ".join(f"'{u}'" for u in text.UNITS)
 ORACLE_SQL = {
-    "strip_accents": f"SELECT doc_id, sha256(translate(text, '{text.ACCENTED}', '{text.PLAIN}')) AS plain, sha256(lower(translate(text, '{text.ACCENTED}', '{text.PLAIN}'))) AS lower FROM documents",
+    "strip_accents": "SELECT doc_id, sha256(t) AS plain, sha256(lower(t)) AS lower FROM (SELECT doc_id, strip_accents(translate(text, 'ºª²³¹', 'oa231')) AS t FROM documents)",
     "compact_text": r"SELECT doc_id, sha256(regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}]', '', 'g')) AS compact FROM documents",
     "clean_description": f"SELECT p_partkey, nullif(trim(substr(t, 1, CAST({_ENDS} AS INT) - 1), ' .,;:-'), '') AS description FROM (SELECT p_partkey, trim(regexp_replace(' -' || p_name || '  ' || p_type || CASE p_partkey % 3 WHEN 0 THEN ' ; Lote 12 x' WHEN 1 THEN '. B.C 7 OBS' ELSE ' .' END, '\\s+', ' ', 'g')) AS t FROM part)",
     "fix_code": """SELECT p_partkey, CASE WHEN regexp_full_match(c, '[A-Za-z]{1,4}[0-9]{2,8}') THEN c WHEN regexp_full_match(c, '[A-Za-z0-9]{2,12}') AND regexp_full_match(m, '[A-Za-z]{1,4}[0-9]{2,8}') THEN m ELSE c END AS code,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -48,10 +49,19 @@ def tokens_of(files: DataFrame, read: Callable[[bytes], list[tuple[int, float, f
     return both.where("motivo is null").drop("motivo"), both.where("motivo is not null").select("doc_id", "motivo")
 
 
-def json_store(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON object ``key: record`` (S6, S7); a file that isn't one fails the read."""
+def json_store(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
+    """Records of a keyed JSON store (S6, S7); a file that isn't one fails the read.
+
+    The store that ``sinks.write_json`` writes has a line ``{"key": ..., "record": {...}}`` for each record and is read in
+    parallel. A single JSON object ``key: record`` is read too, for imports: it is one cell in one task, so it must be small.
+    """
+    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    record = f"struct<{_struct(schema)}>"
+    if first and re.match(r'\s*\{\s*"(key|record)"\s*:', first[0].value):
+        lines = spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", f"key string, record {record}", {"mode": "FAILFAST"}).alias("r"))
+        return lines.select("r.key", "r.record.*")
     raw = spark.read.text(path, wholetext=True)
-    parsed = raw.select(F.from_json("value", f"map<string, struct<{_struct(RECORD_SCHEMA)}>>", {"mode": "FAILFAST"}).alias("m"))
+    parsed = raw.select(F.from_json("value", f"map<string, {record}>", {"mode": "FAILFAST"}).alias("m"))
     return parsed.select(F.explode("m").alias("key", "record")).select("key", "record.*")
 
 
