@@ -1,13 +1,15 @@
-"""Command line: ``python -m docspark csv|normalise|validate|summary``."""
+"""Command line: ``python -m docspark extract|csv|normalise|validate|summary``."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from docspark.extract import extract
 from docspark.operators import flatten, normalise
 from docspark.operators.flatten import RECORD_SCHEMA
 from docspark.sources import files, sinks
@@ -32,15 +34,24 @@ def validate(spark: SparkSession, path: str) -> int:
 
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="docspark", description=__doc__)
-    p.add_argument("action", choices=("csv", "normalise", "validate", "summary"))
-    p.add_argument("--json", required=True, help="keyed JSON store to read")
+    p.add_argument("action", choices=("extract", "csv", "normalise", "validate", "summary"))
+    p.add_argument("--json", help="keyed JSON store to read")
+    p.add_argument("--folder", help="folder of documents to extract")
+    p.add_argument("--reader", help="module:function that turns a file's bytes into page, x, y, conf, text rows")
     p.add_argument("--out", help="folder to write to")
     p.add_argument("--columns", help="comma-separated columns; all by default")
     p.add_argument("--with-text", action="store_true", help="add the recognised text as a column")
     o = p.parse_args(args)
-    if o.action in ("csv", "normalise") and not o.out:
+    if o.action in ("extract", "csv", "normalise") and not o.out:
         p.error(f"{o.action} needs --out")
+    if o.action == "extract" and not (o.folder and o.reader) or o.action != "extract" and not o.json:
+        p.error("extract needs --folder and --reader, the others --json")
     spark = SparkSession.builder.appName("docspark").getOrCreate()
+    if o.action == "extract":
+        module, name = o.reader.split(":")
+        n = extract(spark, o.folder, o.out, getattr(importlib.import_module(module), name))
+        print(", ".join(f"{k}: {v}" for k, v in n.items()))
+        return 0
     if o.action == "validate":
         return validate(spark, o.json)
     store = files.json_store(spark, o.json)

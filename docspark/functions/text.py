@@ -40,14 +40,10 @@ VALUE = r"\d{1,3}(?:\.\d{3})*,\d{2}"
 def strip_accents(text: Column) -> Column:
     """Compatibility forms without combining marks: letters lose their accents, ligatures part, raised and circled signs become plain."""
 
-    def fold(t: Column) -> Column:
-        parted = t
-        for c, letters in LIGATURES.items():
-            parted = F.replace(parted, F.lit(c), F.lit(letters))
-        plain = F.translate(F.when(t.rlike("[" + "".join(LIGATURES) + "]"), parted).otherwise(t), ACCENTED, PLAIN)
-        return F.regexp_replace(plain, r"\p{Mn}+", "")
-
-    return F.when(text.rlike(r"[^\x00-\x7F]"), fold(text)).otherwise(text)
+    letters = F.create_map(*[F.lit(x) for pair in LIGATURES.items() for x in pair])
+    parted = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(letters[c], c)), "")
+    plain = F.translate(F.when(text.rlike("[" + "".join(LIGATURES) + "]"), parted).otherwise(text), ACCENTED, PLAIN)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(plain, r"\p{Mn}+", "")).otherwise(text)
 
 
 def normalise(text: Column) -> Column:

@@ -18,10 +18,7 @@ WEIGHT_WINDOWS = ((1, 1640.0, 1900.0), (2, 1200.0, 1640.0), (3, float("-inf"), f
 
 def label_first_match(tokens: DataFrame, labels: list[str], y_min: float | None = None, y_max: float | None = None, page: int | None = None) -> DataFrame:
     """Per document the first token in order whose compact text contains a label (L1)."""
-    found = F.lit(False)
-    for label in labels:
-        found = found | F.col("key").contains(label)
-    rows = tokens.withColumn("key", text.compact(F.col("text"))).where(found)
+    rows = tokens.where(text.compact(F.col("text")).rlike("|".join(labels)))
     if y_min is not None:
         rows = rows.where(F.col("y") >= y_min)
     if y_max is not None:
