@@ -56,3 +56,19 @@ def slices(batch: pa.RecordBatch, column: int = 1, limit: int = 4 << 20) -> Iter
         total += n or 0
     if batch.num_rows > start:
         yield batch.slice(start)
+
+
+SEND_KEYS = 1 << 20
+
+
+def keyed_join(rows: DataFrame, table: DataFrame, on: list[str], most: int = SEND_KEYS) -> DataFrame:
+    """Inner join of ``rows`` with a table of one row for each key, whatever share of the rows has one key.
+
+    A table of at most ``most`` keys is sent to all tasks. Of a larger one only the keys that hold more than one ``most``-th of the
+    rows are sent, of which there are fewer than ``most``; the other rows meet their keys by a shuffle.
+    """
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), on)
+    heavy = stored(rows.groupBy(on).count().where(F.col("count") * most > rows.count()).select(on), "heavy-keys")
+    sent = rows.join(F.broadcast(table.join(heavy, on, "left_semi")), on)
+    return sent.unionByName(rows.join(F.broadcast(heavy), on, "left_anti").join(table, on))

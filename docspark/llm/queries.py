@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docspark.llm import common, decontaminate, exact_dedup, jaccard_join, language_id, packing, pii, token_counts, token_files, toxicity, url_filter
+from docspark.llm import common, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, pii, source_divergence, token_counts, token_files, toxicity, url_filter, vector_codes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,11 +64,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.drop_repeated_lines(_read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_url_filter, op3_best_fit_packing, op4_exact_dedup, op5_token_files, op6_ngram_jaccard,
         op7_toxicity, op8_token_counts, op9_decontamination, op10_language_id,
+        op11_line_dedup, op12_vector_codes, op13_source_divergence,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.ORACLE_SQL, "op4_exact_dedup": exact_dedup.ORACLE_SQL, "op6_ngram_jaccard": jaccard_join.ORACLE_SQL}
+ORACLE_SQL |= {"op11_line_dedup": line_dedup.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL, "op13_source_divergence": source_divergence.ORACLE_SQL}
