@@ -16,12 +16,14 @@ def extract(spark: SparkSession, folder: str, out: str, read: Callable[[bytes],
 
     ``read`` and ``fallback`` turn a file's bytes into ``page, x, y, conf, text`` rows. Tokens and failures are written first, as
     Parquet under ``out``, so files are read once. Records are keyed by their key where it is valid, else by file; what the store
-    already has for a key is filled up, not replaced. Written: ``tokens``, ``failures``, ``raw``, ``audit``, ``records``, ``store``, ``csv``, ``report``.
+    already has for a key is filled up, not replaced. Written: ``tokens``, ``failures``, ``sections``, ``raw``, ``audit``, ``records``, ``store``, ``csv``, ``report``.
     """
     found, failed = files.tokens_of(files.document_files(spark, folder, pattern), read, fallback)
     found.write.mode("overwrite").parquet(f"{out}/tokens")
     failed.write.mode("overwrite").parquet(f"{out}/failures")
-    notes.assemble(spark.read.parquet(f"{out}/tokens")).write.mode("overwrite").parquet(f"{out}/raw")
+    tokens = spark.read.parquet(f"{out}/tokens")
+    notes.sections(tokens).write.mode("overwrite").parquet(f"{out}/sections")
+    notes.assemble(tokens, spark.read.parquet(f"{out}/sections")).write.mode("overwrite").parquet(f"{out}/raw")
     typed, audit = notes.finish(spark.read.parquet(f"{out}/raw"))
     audit.write.mode("overwrite").parquet(f"{out}/audit")
     typed = typed.withColumn("key", F.when(F.col("chave_valida"), F.col("chave_de_acesso")).otherwise(F.col("arquivo")))

@@ -2,27 +2,45 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The Korean syllables are made of 19 first, 21 middle and 28 last letters (none is the first of the last), in order.
+SYLLABLES, FIRST, MIDDLE, LAST = 0xAC00, 0x1100, 0x1161, 0x11A7
+MIDDLES, LASTS, SYLLABLE_END = 21, 28, 0xD7A3
+GAP = 4  # characters nearer than this are tested as one range
+EARLY = 0x580  # from here on characters are rare in texts of Latin letters
 
-def _folded() -> tuple[str, str, dict[str, str]]:
-    """Characters whose compatibility form without marks is one other character, those characters, and the ligatures and the like that become several."""
-    one, several = {}, {}
-    for code in (*range(0xA0, 0x2100), *range(0x2100, 0x2500), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)):
+
+@functools.cache
+def _folded() -> tuple[str, str, str, str, str]:
+    """For all characters with a compatibility form or a mark: those that become one character and then those that go, what the first become, the others as JSON, a short and a longer pattern that all of the others fit."""
+    one, gone, several = {}, [], {}
+    for code in (*range(0x80, SYLLABLES), *range(SYLLABLE_END + 1, 0xD800), *range(0xE000, 0x110000)):
         c = chr(code)
         bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(bare) == 1 and bare != c:
-            one[c] = bare
-        elif len(bare) > 1 and bare.isascii() and bare.isalpha():
+        if not bare:
+            gone.append(c)
+        elif len(bare) > 1:
             several[c] = bare
-    return "".join(one), "".join(one.values()), several
+        elif bare != c:
+            one[c] = bare
+    ranges = [[SYLLABLES, SYLLABLE_END]]
+    for code in map(ord, several):
+        near = next((r for r in ranges[1:] if code - r[1] <= GAP), None)
+        if near:
+            near[1] = code
+        else:
+            ranges.append([code, code])
+    fits = lambda rs: "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in rs) + "]"
+    return "".join([*one, *gone]), "".join(one.values()), json.dumps(several), fits([r for r in ranges if r[1] < EARLY] + [[EARLY, 0x10FFFF]]), fits(ranges)
 
 
-ACCENTED, PLAIN, LIGATURES = _folded()
 # Units of measure, those of volume, and marks that end a description.
 UNITS = (
     "TON", "TONS", "TN", "KG", "KGL", "KGS", "KGSC", "UN", "UND", "UNID", "UNI", "PC", "PCS", "L", "LT", "M", "M2", "M3", "SC", "CX",
@@ -38,12 +56,22 @@ VALUE = r"\d{1,3}(?:\.\d{3})*,\d{2}"
 
 
 def strip_accents(text: Column) -> Column:
-    """Compatibility forms without combining marks: letters lose their accents, ligatures part, raised and circled signs become plain."""
-
-    letters = F.create_map(*[F.lit(x) for pair in LIGATURES.items() for x in pair])
-    parted = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(letters[c], c)), "")
-    plain = F.translate(F.when(text.rlike("[" + "".join(LIGATURES) + "]"), parted).otherwise(text), ACCENTED, PLAIN)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(plain, r"\p{Mn}+", "")).otherwise(text)
+    """Compatibility forms without combining marks, for every character: letters lose their accents, ligatures part, raised and circled signs become plain.
+
+    ASCII texts stay as they are; only texts with a character that becomes several are taken apart.
+    """
+    given, made, several, short, pattern = _folded()
+    letters = F.from_json(F.lit(several), "map<string,string>")  # one constant in the plan
+    jamo = "".join(map(chr, range(FIRST, FIRST + 19))), "".join(map(chr, range(MIDDLE, MIDDLE + MIDDLES))), "".join(map(chr, range(LAST + 1, LAST + LASTS)))
+
+    def taken_apart(c: Column) -> Column:
+        at = F.ascii(c) - SYLLABLES
+        last = F.pmod(at, F.lit(LASTS))
+        parts = F.substring(F.lit(jamo[0]), (at / (MIDDLES * LASTS)).cast("int") + 1, F.lit(1)), F.substring(F.lit(jamo[1]), F.pmod((at / LASTS).cast("int"), F.lit(MIDDLES)) + 1, F.lit(1)), F.when(last > 0, F.substring(F.lit(jamo[2]), last, F.lit(1))).otherwise("")
+        return F.when(c.between(chr(SYLLABLES), chr(SYLLABLE_END)), F.concat(*parts)).when(c.rlike(pattern), F.coalesce(letters[c], c)).otherwise(c)
+
+    parted = F.when(text.rlike(short) & text.rlike(pattern), F.array_join(F.transform(F.split(text, ""), taken_apart), "")).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(parted, given, made)).otherwise(text)
 
 
 def normalise(text: Column) -> Column:

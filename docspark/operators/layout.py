@@ -6,6 +6,8 @@ and, where the distance is bounded, on a grid cell, so a long document is not co
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,7 +20,7 @@ WEIGHT_WINDOWS = ((1, 1640.0, 1900.0), (2, 1200.0, 1640.0), (3, float("-inf"), f
 
 def label_first_match(tokens: DataFrame, labels: list[str], y_min: float | None = None, y_max: float | None = None, page: int | None = None) -> DataFrame:
     """Per document the first token in order whose compact text contains a label (L1)."""
-    rows = tokens.where(text.compact(F.col("text")).rlike("|".join(labels)))
+    rows = tokens.where(text.compact(F.col("text")).rlike("|".join(map(re.escape, labels))))
     if y_min is not None:
         rows = rows.where(F.col("y") >= y_min)
     if y_max is not None:
@@ -129,13 +131,17 @@ def text_recompose(tokens: DataFrame) -> DataFrame:
 
 def sorted_join(tokens: DataFrame, label: Column, width: float = 1400.0) -> DataFrame:
     """Tokens below a document's first labelled token and left of its reach, sorted as text and joined."""
-    first = tokens.where(label).groupBy("doc_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("l"))
-    below = tokens.join(first, "doc_id").where((F.col("y") > F.col("l.y")) & (F.col("x") < F.col("l.x") + width))
+    return below_joined(tokens, tokens.where(label).groupBy("doc_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("l")).select("doc_id", "l.*"), width)
+
+
+def below_joined(tokens: DataFrame, label: DataFrame, width: float = 1400.0) -> DataFrame:
+    """The same below labels that are known, one for a document."""
+    below = tokens.join(label.select("doc_id", F.col("x").alias("l_x"), F.col("y").alias("l_y")), "doc_id").where((F.col("y") > F.col("l_y")) & (F.col("x") < F.col("l_x") + width))
     return below.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("text")), " | ").alias("extra"))
 
 
 def document_model(tokens: DataFrame) -> DataFrame:
     """Per document the model that its tokens name (P15), its pages (A8) and its first address."""
     key = text.compact(F.col("text"))
-    found = tokens.groupBy("doc_id").agg(F.max(key.contains("danfe")).alias("danfe"), F.max(key.contains("nfe")).alias("nfe"), F.count_distinct("page").alias("pages"), F.min_by(F.when(F.col("text").contains("http"), F.col("text")), F.when(F.col("text").contains("http"), F.col("seq"))).alias("qr"))
+    found = tokens.groupBy("doc_id").agg(F.max(key.contains("danfe")).alias("danfe"), F.max(key.contains("nfe")).alias("nfe"), F.count_distinct("page").alias("pages"), F.min_by("text", F.when(F.lower("text").contains("http"), F.col("seq"))).alias("qr"))
     return found.select("doc_id", F.when(F.col("danfe"), "NF-e (DANFE)").when(F.col("nfe"), "NF-e").otherwise("desconhecido").alias("modelo"), "pages", "qr")

@@ -12,7 +12,7 @@ from docspark.plans import tables
 
 def strip_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tables.read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.sha2(text.strip_accents(F.col("text")), 256).alias("plain"), F.sha2(text.normalise(F.col("text")), 256).alias("lower"))
+    return d.select("doc_id", text.strip_accents(F.col("text")).alias("plain")).select("doc_id", F.sha2("plain", 256).alias("plain"), F.sha2(F.lower("plain"), 256).alias("lower"))
 
 
 def compact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
