@@ -5,7 +5,6 @@ any text that holds the item. Exact piece hits come from one automaton, and the
 hit are verified with Myers' bit-parallel edit distance.
 """
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,8 +32,8 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def best_match(item: str, text: str, masks: dict[str, int]) -> tuple[int, int]:
-    """Least edit distance of the item to any part of the text, and the end of the first such part."""
+def best_match(item: str, text: str, masks: dict[str, int], anchored: bool = False) -> tuple[int, int]:
+    """Least edit distance of the item to any part of the text, and the end of the first such part; ``anchored`` parts begin where the text does."""
     m = len(item)
     high, full = 1 << (m - 1), (1 << m) - 1
     plus, minus, score = full, 0, m
@@ -48,7 +47,7 @@ def best_match(item: str, text: str, masks: dict[str, int]) -> tuple[int, int]:
             score += 1
         elif mh & high:
             score -= 1
-        ph, mh = (ph << 1) & full, (mh << 1) & full
+        ph, mh = (ph << 1 | anchored) & full, (mh << 1) & full
         plus, minus = (mh | ~(xv | ph)) & full, ph & xv
         if score < best[0]:
             best = (score, end)
@@ -60,12 +59,11 @@ def best_match(item: str, text: str, masks: dict[str, int]) -> tuple[int, int]:
 class Matcher:
     """All test items of a block behind one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, whole_words: bool = True):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float):
         import ahocorasick
 
-        self.whole_words = whole_words
         self.items = [(i, t, int(error_rate * len(t))) for i, x in items if (t := normalised(x))]
-        self.masks: dict[int, dict[str, int]] = {}
+        self.masks: dict[tuple[int, bool], dict[str, int]] = {}
         owners: dict[str, list[tuple[int, int]]] = {}
         for k, (_, item, budget) in enumerate(self.items):
             for at, piece in pieces(item, budget):
@@ -76,13 +74,13 @@ class Matcher:
         if owners:
             self.automaton.make_automaton()
 
-    def _mask(self, k: int) -> dict[str, int]:
-        if k not in self.masks:
+    def _mask(self, k: int, backwards: bool = False) -> dict[str, int]:
+        if (k, backwards) not in self.masks:
             found: dict[str, int] = {}
-            for i, c in enumerate(self.items[k][1]):
+            for i, c in enumerate(self.items[k][1][:: -1 if backwards else 1]):
                 found[c] = found.get(c, 0) | 1 << i
-            self.masks[k] = found
-        return self.masks[k]
+            self.masks[k, backwards] = found
+        return self.masks[k, backwards]
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """Items held by a whole text: ``item_id, edit distance, budget, start`` in the normalised text."""
@@ -113,22 +111,23 @@ class Matcher:
         return out
 
     def _verify(self, k: int, text: str, first: int, last: int) -> tuple[int, int] | None:
+        """Least distance around some starts and where that match begins: read backwards from its end, the shortest part with that distance."""
         _, item, budget = self.items[k]
-        if not budget:
-            # Nothing may differ: where wanted, the item must stand between other than word characters.
-            m = re.compile(rf"(?<!\w){re.escape(item)}(?!\w)" if self.whole_words else re.escape(item)).search(text, max(0, first))
-            return (0, m.start()) if m and m.start() <= last else None
         low = max(0, first - budget)
         distance, end = best_match(item, text[low : last + len(item) + budget], self._mask(k))
-        return (distance, max(0, low + end - len(item))) if distance <= budget else None
+        if distance > budget:
+            return None
+        if not distance:
+            return 0, low + end - len(item)
+        back = text[max(0, low + end - len(item) - budget) : low + end][::-1]
+        return distance, low + end - best_match(item[::-1], back, self._mask(k, True), anchored=True)[1]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", whole_words: bool = True) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Which documents hold which test items: one row for each pair of a document row and an item.
 
     Returns ``doc_id, item_id, edit_distance, error_budget, start`` (the place in the normalised text). An item may
-    differ in ``error_rate`` of its characters, rounded down. With ``whole_words`` an item for which that is none must
-    stand as whole words, so that a word of a few letters isn't found inside others; without, it may stand anywhere. Null
+    differ in ``error_rate`` of its characters, rounded down, and may stand anywhere, also inside words; that holds for items of any length. Null
     and empty texts and items match nothing; repeated rows answer each, repeated items once; texts are searched whole;
     empty tables give an empty table; other columns are not read. Items go to the tasks in blocks of bounded size, one
     pass over the documents for each; there is no shuffle of documents.
@@ -136,7 +135,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
     rows = common.texts(docs, id_col, text_col)
     out = None
     for sent in _blocks(benchmark, item_col, item_text_col):
-        hits = rows.mapInArrow(_search(sent, error_rate, whole_words), SCHEMA)
+        hits = rows.mapInArrow(_search(sent, error_rate), SCHEMA)
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -151,28 +150,28 @@ def _blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str
         yield benchmark.sparkSession.sparkContext.broadcast(held)
 
 
-def holds_item(benchmark: DataFrame, text: Column, error_rate: float = ERROR_RATE, whole_words: bool = True) -> Column:
+def holds_item(benchmark: DataFrame, text: Column, error_rate: float = ERROR_RATE) -> Column:
     """Whether a text holds a test item, as a column: filters keep whole rows without a join."""
     ship(benchmark.sparkSession)
     found = F.lit(False)
     for sent in _blocks(benchmark):
-        found = found | _holds(sent, error_rate, whole_words)(text.cast("string"))
+        found = found | _holds(sent, error_rate)(text.cast("string"))
     return found
 
 
-def _holds(sent, error_rate: float, whole_words: bool):
+def _holds(sent, error_rate: float):
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(sent.value, error_rate, whole_words)
+        matcher = Matcher(sent.value, error_rate)
         for texts in batches:
             yield pd.Series([bool(matcher.find(t)) for t in texts.fillna("")], dtype=bool)
 
     return holds
 
 
-def _search(sent, error_rate: float, whole_words: bool):
+def _search(sent, error_rate: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, error_rate, whole_words)
+        matcher = Matcher(sent.value, error_rate)
         for batch in batches:
             for part in common.slices(batch):
                 found = [(d, *hit) for d, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for hit in matcher.find(x)]

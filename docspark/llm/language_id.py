@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docspark.llm import common
 from docspark.packaging import ship
@@ -92,20 +93,21 @@ def fit(x: np.ndarray, languages: list[str], steps: int = 150, ridge: float = 1e
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fit on about ``sample_rows`` labelled rows, spread evenly over all languages, at least one each.
+    """Fit on at most ``sample_rows`` labelled rows and one more for each language, spread evenly over all languages.
 
-    Rows are taken by a hash of id and text, those of the least hash where the bound binds; it holds whatever the corpus. None
-    without labelled rows.
+    Of each language the distinct rows of the least 64-bit hash of id and text are taken, so the bound and the spread hold whatever
+    the corpus. None without labelled rows.
     """
-    rows = common.texts(docs, id_col, text_col)
-    labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
-    counts = labelled.groupBy("lang").count().collect()
-    if not counts:
+    h = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    labelled = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"), h.alias("h")).where("lang is not null")
+    ship(docs.sparkSession)
+    hashes = common.stored(labelled.groupBy("lang", "h").agg(F.count("*").alias("n")).drop("n"), "hashes")
+    languages = hashes.select("lang").distinct().count()
+    if not languages:
         return None
-    each = -(-sample_rows // len(counts))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, (1.1 * each + 3) / r["count"]))])
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
-    sample = labelled.withColumn("place", place).where(F.col("place") < share[F.col("lang")]).orderBy("place", "doc_id").limit(2 * sample_rows + 4 * len(counts)).drop("place")
+    ranked = hashes.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= -(-sample_rows // languages))
+    picked = ranked.select("lang", "h")
+    sample = labelled.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"]).orderBy("lang", "h").select(F.lit(0).alias("none"), "text", "lang")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -149,14 +149,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int
     return common.texts(docs, id_col, text_col).mapInArrow(tokens, "doc_id long, n long, crcs array<long>, place long")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, group_rows: int = GROUP_ROWS, group_bins: int = GROUP_BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sequences of at most ``capacity`` tokens over all documents, one row per piece.
 
     Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. Only documents longer
     than a sequence are cut: the first piece takes the remainder, the others fill a sequence
     each. Null and empty texts are the end id alone; repeated rows are packed each; of equal lengths any may stand
     first; an empty table gives an empty table; other columns are not read. A group has about ``group_rows`` documents, or as
-    many as fill a thousand sequences, but 65,536 at most.
+    many as fill ``group_bins`` sequences where that is more, but 65,536 at most.
     """
     lengths = common.stored(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), "lengths")
     first = F.when(F.col("n") % capacity == 0, capacity).otherwise(F.col("n") % capacity)
@@ -186,7 +186,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int =
     todo, level, out = lengths.withColumn("more", F.lit(0).cast("long")), 0, None
     while True:
         count, tokens = todo.agg(F.count("*"), F.coalesce(F.sum(first), F.lit(0))).first()
-        groups = max(1, -(-count // MOST_ROWS), min(-(-count // group_rows), -(-tokens // (GROUP_BINS * capacity) if group_rows == GROUP_ROWS else count)))
+        groups = max(1, -(-count // MOST_ROWS), min(-(-count // group_rows), -(-tokens // (group_bins * capacity))))
         placed = common.stored(todo.groupBy(F.pmod("place", F.lit(groups)).alias("grp")).applyInPandas(assigned(level, groups == 1), STATE), f"placed{level}")
         left = placed.where("open")
         # Pooled documents get fewer at each level; where they don't, they stay where they are.

@@ -346,3 +346,14 @@ def test_many_languages_are_all_learned(spark):
 def test_codewords_differ(k):
     codes = language_id.codewords(k)
     assert codes.shape[0] == k and len({tuple(c) for c in codes.tolist()}) == k
+
+
+def test_sample_of_languages_of_very_different_size(spark):
+    """Each language has its share, whatever its size, repeats and ids."""
+    words = {f"l{k}": [chr(97 + k) * 3 + c for c in "aeiou"] for k in range(10)}
+    rows = [(i, " ".join(words[f"l{k}"][(i + j) % 5] for j in range(8)), f"l{k}") for k in range(10) for i in range(3 * 2**k)] + [(-1, "jjja " * 5, "l9")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, sample_rows=40)
+    assert sorted(model.languages) == sorted(words)
+    judged = language_id.identify(docs, model).join(docs.select("doc_id", "lang").distinct(), "doc_id").where("lang_pred = lang")
+    assert judged.count() >= 0.95 * docs.count()

@@ -50,7 +50,7 @@ def test_counts(corpus, empty):
 
 
 def test_packing(corpus, empty):
-    rows = packing.pack(corpus, BYTE, group_rows=5).toPandas()
+    rows = packing.pack(corpus, BYTE, group_rows=5, group_bins=1).toPandas()
     expected = sorted(len(ids_of(BYTE, t)) + 1 for _, t in rows_of(corpus))
     assert rows["length"].sum() == sum(expected)
     for _, g in rows.groupby("sequence_id"):
@@ -94,7 +94,7 @@ def test_exchanges():
 def test_packing_of_repeated_rows(spark):
     rows = [(7, "the same words again and again")] * 3000 + [(None, None)] * 500 + [(8, "x " * 3000)] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = packing.pack(docs, BYTE, group_rows=500).toPandas()
+    got = packing.pack(docs, BYTE, group_rows=500, group_bins=1).toPandas()
     whole = sum(len(ids_of(BYTE, t or "")) + 1 for _, t in rows)
     assert got["length"].sum() == whole and len(got[got["piece"] == 0]) == len(rows)
     fills = got.groupby("sequence_id")["length"].sum()
