@@ -95,19 +95,20 @@ def fit(x: np.ndarray, languages: list[str], steps: int = 150, ridge: float = 1e
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on at most ``sample_rows`` labelled rows and one more for each language, spread evenly over all languages.
 
-    Of each language the distinct rows of the least 64-bit hash of id and text are taken, so the bound and the spread hold whatever
-    the corpus. None without labelled rows.
+    Of each language the distinct rows of the least 64-bit hash of id and text are taken; its count says below which hash to look, so
+    few rows are ranked. The bound and the spread hold whatever the corpus. None without labelled rows.
     """
+    ship(docs.sparkSession)
     h = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     labelled = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"), h.alias("h")).where("lang is not null")
-    ship(docs.sparkSession)
-    hashes = common.stored(labelled.groupBy("lang", "h").agg(F.count("*").alias("n")).drop("n"), "hashes")
-    languages = hashes.select("lang").distinct().count()
-    if not languages:
+    counts = labelled.groupBy("lang").count().collect()
+    if not counts:
         return None
-    ranked = hashes.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= -(-sample_rows // languages))
-    picked = ranked.select("lang", "h")
-    sample = labelled.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"]).orderBy("lang", "h").select(F.lit(0).alias("none"), "text", "lang")
+    each = -(-sample_rows // len(counts))
+    below = {r.lang: min((1 << 63) - 1, int((1.1 * each + 3) / r["count"] * (1 << 64)) - (1 << 63)) for r in counts}
+    low = labelled.where(F.col("h") <= F.create_map(*[F.lit(v) for pair in below.items() for v in pair])[F.col("lang")]).dropDuplicates(["lang", "h"])
+    ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= each)
+    sample = ranked.orderBy("lang", "h").select(F.lit(0).alias("none"), "text", "lang")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
