@@ -143,7 +143,7 @@ def state_of(text: Column) -> Column:
 
 def country_of(text: Column) -> Column:
     """A country cell without a state glued before it."""
-    return F.regexp_replace(text, r"^[A-Z]{2}(?=[A-Z])", "")
+    return F.regexp_replace(text, r"^[A-Z]{2}(?=[A-ZÀ-Ú])", "")
 
 
 def checked_address(address: Column, name: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docspark.operators import layout, normalise, products, records
 from docspark.plans import tables
@@ -30,9 +31,9 @@ def content_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of ``_tokens`` with single-cell columns, a header above and no line of words that opens a product."""
     li = tables.read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"), F.min("l_quantity").alias("q"))
-    heads = [("COD. PRODUTO", 100.0), ("DESCRICAO DO PRODUTO", 500.0), ("NCM/SH", 900.0), ("QTDE", 1300.0)]
+    heads = [("COD PRODUTO", 100.0), ("DESCRICAO DO PRODUTO", 500.0), ("NCM/SH", 900.0), ("QTDE", 1300.0)]
     n = F.col("l_linenumber")
-    cells = [(110.0, F.concat(F.lit("AB"), F.col("k").cast("string"))), (480.0, F.concat(F.lit("adubo "), n.cast("string"))), (905.0, F.lit("31042090")), (1290.0, F.concat(F.col("q").cast("bigint").cast("string"), F.lit(",0000")))]
+    cells = [(110.0, F.concat(F.lit("AB"), (F.col("k") % 900 + 100).cast("string"))), (480.0, F.concat(F.lit("adubo "), n.cast("string"))), (905.0, F.lit("31042090")), (1290.0, F.concat(F.col("q").cast("bigint").cast("string"), F.lit(",0000")))]
     row = [F.struct(F.lit(x).alias("x"), (n * 100.0).alias("y"), (n * 10 + i).alias("seq"), c.alias("text")) for i, (x, c) in enumerate(cells)]
     more = F.struct(F.lit(490.0).alias("x"), (n * 100.0 + 50).alias("y"), (n * 10 + 5).alias("seq"), F.lit("fino").alias("text"))
     body = li.select(F.col("l_orderkey").alias("doc_id"), F.explode(F.array(*row, more)).alias("t")).select("doc_id", "t.*")
@@ -45,6 +46,40 @@ def header_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", F.col("product").cast("int").alias("product"), "codigo", "descricao", "ncm", "quantidade")
 
 
+def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product table for each order, its header printed in four ways.
+
+    Words that are no labels stand in the header row, and in three ways a row with a code label stands above. The first product may
+    have its code below; every third one has a remark with a second price beside, and a line after it that belongs to nothing.
+    """
+    li = tables.read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"), F.min("l_quantity").alias("q"))
+    li = li.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")))
+    n, kind, late, third = F.col("n"), F.col("l_orderkey") % 4, (F.col("n") == 1) & (F.col("k") % 2 == 1), F.col("n") % 3 == 0
+    code = F.concat(F.lit("AB"), (F.col("k") % 900 + 100).cast("string"))
+    body = [
+        (0, 110, F.when(~late, code)), (0, 480, F.concat(F.lit("adubo "), n.cast("string"))), (0, 905, F.lit("5102")), (0, 1290, F.concat(F.col("q").cast("bigint").cast("string"), F.lit(",0000"))), (0, 1690, F.lit("10,00")),
+        (40, 490, F.lit("fino")), (80, 110, F.when(late, code)), (80, 480, F.when(third, "Obs: safra")), (80, 1690, F.when(third, "20,00")), (120, 490, F.when(third, "perdido")),
+    ]
+    pick = lambda *texts: F.when(kind == 0, texts[0]).when(kind == 1, texts[1]).when(kind == 2, texts[2]).otherwise(texts[3])
+    low = F.when(kind == 3, 60)
+    head = [
+        (-60, 100, pick("CODIGO", "CODIGO", "CODIGO", None)), (10, 100, pick("COD PRODUTO", "CÓDIGO DO PRODUTO", "CODPROD", "CODIGO")), (10, 520, F.lit("ITEM")), (10, 1310, F.lit("PECAS")), (10, 900, pick("CFOP", "CFOP", None, None)),
+        (F.coalesce(low, F.lit(10)), 500, F.lit("DESCRIÇÃO")), (F.coalesce(low, F.lit(10)), 1300, F.lit("QTDE")), (F.coalesce(low, F.lit(10)), 1700, pick("VLR UNIT", "VALOR UNITARIO", "UNIT", "VR")),
+    ]
+
+    def laid(rows: DataFrame, cells: list, top: Column, seq: Column) -> DataFrame:
+        each = F.array(*[F.struct((top + y).cast("double").alias("y"), F.lit(float(x)).alias("x"), (seq + i).alias("seq"), t.alias("text")) for i, (y, x, t) in enumerate(cells)])
+        return rows.select(F.col("l_orderkey").alias("doc_id"), F.inline(each)).where("text IS NOT NULL")
+
+    both = laid(li, body, n * 300, n * 20).unionByName(laid(li.where("n = 1"), head, F.lit(0), F.lit(0)))
+    return both.withColumn("page", F.lit(1))
+
+
+def header_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = products.header_products(_tables(spark, sf_dir))
+    return p.select("doc_id", F.col("product").cast("int").alias("product"), "codigo", "descricao", "cfop", "quantidade", "valor_unitario")
+
+
 def product_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _table(spark, sf_dir)
     return products.choose(products.header_products(t), products.content_products(t))
@@ -94,7 +129,10 @@ ORACLE_SQL = {
         SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INT) AS product, 'AB' || CAST(k % 900 + 100 AS VARCHAR) AS codigo, '31042090' AS ncm, '5102' AS cfop, 'TN' AS unidade,
         'adubo fino' AS descricao, q AS quantidade, (k % 90 + 10) * 1.25::DOUBLE AS valor_unitario, round(q * (k % 90 + 10) * 1.25::DOUBLE, 2) AS valor_total FROM li""",
     "header_products": """WITH li AS (SELECT l_orderkey, l_linenumber AS n, min(l_partkey) AS k, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
-        SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS INT) AS product, 'AB' || CAST(k AS VARCHAR) AS codigo, 'adubo ' || CAST(n AS VARCHAR) || ' fino' AS descricao, '31042090' AS ncm, CAST(CAST(q AS BIGINT) AS VARCHAR) || ',0000' AS quantidade FROM li""",
+        SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS INT) AS product, 'AB' || CAST(k % 900 + 100 AS VARCHAR) AS codigo, 'adubo ' || CAST(n AS VARCHAR) || ' fino' AS descricao, '31042090' AS ncm, CAST(CAST(q AS BIGINT) AS VARCHAR) || ',0000' AS quantidade FROM li""",
+    "header_tables": """WITH li AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS k, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM li)
+        SELECT l_orderkey AS doc_id, CAST(n AS INT) AS product, 'AB' || CAST(k % 900 + 100 AS VARCHAR) AS codigo, 'adubo ' || CAST(n AS VARCHAR) || ' fino' AS descricao, CASE WHEN l_orderkey % 4 < 2 THEN '5102' END AS cfop,
+        CASE WHEN n % 3 = 0 THEN '10,00' ELSE CAST(CAST(q AS BIGINT) AS VARCHAR) || ',0000' END AS quantidade, CASE WHEN n % 3 = 0 THEN '20,00' ELSE '10,00' END AS valor_unitario FROM r""",
     "product_source": "SELECT DISTINCT l_orderkey AS doc_id, true AS by_content FROM lineitem",
     "record_fields": f"WITH {tables.TOKENS_SQL}, a AS ({_FIELD.format(n='first', label='click', top=99999, m=45)}), b AS ({_FIELD.format(n='second', label='purchase', top=2000, m=60)}) FROM a UNION ALL FROM b",
     "normalise_records": """WITH li AS (SELECT l_orderkey, l_linenumber AS n FROM lineitem GROUP BY 1, 2), o AS (SELECT DISTINCT l_orderkey FROM lineitem), a AS (
@@ -108,4 +146,4 @@ ORACLE_SQL = {
         CASE WHEN n = 3 THEN NULL ELSE round(p, 2) END AS valor_total, CASE WHEN n = 7 THEN NULL ELSE 12.0::DOUBLE END AS aliquota FROM li""",
     "litres_of_tokens": "SELECT l_orderkey AS doc_id, sum(q + 0.5) AS volume_litros FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2) WHERE l_linenumber % 2 = 0 GROUP BY 1",
 }
-QUERIES = {f.__name__: f for f in (content_products, header_products, product_source, record_fields, normalise_records, normalised_items, litres_of_tokens)}
+QUERIES = {f.__name__: f for f in (content_products, header_products, header_tables, product_source, record_fields, normalise_records, normalised_items, litres_of_tokens)}
