@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from docspark.extract import extract
-from docspark.operators import flatten, normalise
+from docspark.operators import flatten, merge, normalise
 from docspark.operators.flatten import RECORD_SCHEMA
 from docspark.sources import files, sinks
 
@@ -41,6 +41,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--out", help="folder to write to")
     p.add_argument("--columns", help="comma-separated columns; all by default")
     p.add_argument("--with-text", action="store_true", help="add the recognised text as a column")
+    p.add_argument("--mode", choices=merge.MODES, default="fill", help="what extract does with keys that the store has")
     o = p.parse_args(args)
     if o.action in ("extract", "csv", "normalise") and not o.out:
         p.error(f"{o.action} needs --out")
@@ -49,7 +50,7 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("docspark").getOrCreate()
     if o.action == "extract":
         module, name = o.reader.split(":")
-        n = extract(spark, o.folder, o.out, getattr(importlib.import_module(module), name))
+        n = extract(spark, o.folder, o.out, getattr(importlib.import_module(module), name), mode=o.mode, columns=o.columns.split(",") if o.columns else None, with_text=o.with_text)
         print(", ".join(f"{k}: {v}" for k, v in n.items()))
         return 0
     if o.action == "validate":

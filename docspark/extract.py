@@ -4,21 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.operators import flatten, merge, notes
-from docspark.sources import files, sinks
+from docspark.sources import files, sinks, store
 
 
-def extract(spark: SparkSession, folder: str, out: str, read: Callable[[bytes], list | None], fallback: Callable[[bytes], list] | None = None, pattern: str = "*.pdf") -> dict[str, int]:
-    """Read all documents of a folder into the store under ``out`` and count what happened (A1, K6).
+def unread(documents: DataFrame, path: str) -> DataFrame:
+    """Files that no record of the store under ``path`` names."""
+    if store.newest(documents.sparkSession, path) is None:
+        return documents
+    known = files.json_store(documents.sparkSession, path, "arquivo string").select(F.col("arquivo").alias("doc_id"))
+    return documents.join(known, "doc_id", "left_anti")
+
+
+def merge_into(new: DataFrame, path: str, merged: str, mode: str = "fill") -> DataFrame:
+    """Commit records with ``key`` and ``arquivo`` to the store under ``path``; the touched buckets' rows with their ``state`` stay at ``merged``.
+
+    Records of one key count in the order of their files, after what the store has.
+    """
+    spark, state = new.sparkSession, store.newest(new.sparkSession, path)
+    touched = None if state is None else store.touched_by(new, "key", state.buckets)
+    before = new.limit(0) if state is None else files.json_store(spark, path, touched=touched).select(*new.columns)
+    versioned = lambda rows, n: rows.withColumn("version", F.struct(F.lit(n).alias("n"), "arquivo"))
+    merge.upsert(versioned(before, 1), versioned(new, 2), mode).write.mode("overwrite").parquet(merged)
+    done, fields = spark.read.parquet(merged), [c for c in new.columns if c != "key"]
+    store.commit(done.select("key", F.struct(*fields).alias("record")), path, "key", state, touched, kind="json")
+    return done
+
+
+def extract(
+    spark: SparkSession, folder: str, out: str, read: Callable[[bytes], list | None], fallback: Callable[[bytes], list] | None = None, pattern: str = "*.pdf",
+    mode: str = "fill", columns: list[str] | None = None, with_text: bool = False,
+) -> dict[str, int]:
+    """Read all documents of a folder into the store under ``out`` and count what happened (A1, A2, K6).
 
     ``read`` and ``fallback`` turn a file's bytes into ``page, x, y, conf, text`` rows. Tokens and failures are written first, as
-    Parquet under ``out``, so files are read once. Records are keyed by their key where it is valid, else by file; what the store
-    already has for a key is filled up, not replaced. Written: ``tokens``, ``failures``, ``sections``, ``raw``, ``audit``, ``records``, ``store``, ``csv``, ``report``.
+    Parquet under ``out``, so files are read once. Records are keyed by their key where it is valid, else by file. ``mode`` is one of
+    ``merge.MODES``: what the store has for a key is filled up, replaced, or left as it is; with ``only-new`` files that the store names
+    aren't read again. Only the store's buckets that a key falls into are read and written. ``columns`` and ``with_text`` are those of the
+    spreadsheet. Written: ``tokens``, ``failures``, ``sections``, ``raw``, ``audit``, ``records``, ``merged``, ``store``, ``csv``, ``report``.
     """
-    found, failed = files.tokens_of(files.document_files(spark, folder, pattern), read, fallback)
+    if mode not in merge.MODES:
+        raise ValueError(f"mode is one of {', '.join(merge.MODES)}")
+    path, documents = f"{out}/store", files.document_files(spark, folder, pattern)
+    if mode == "only-new":
+        documents = unread(documents, path)
+    found, failed = files.tokens_of(documents, read, fallback)
     found.write.mode("overwrite").parquet(f"{out}/tokens")
     failed.write.mode("overwrite").parquet(f"{out}/failures")
     tokens = spark.read.parquet(f"{out}/tokens")
@@ -29,18 +62,10 @@ def extract(spark: SparkSession, folder: str, out: str, read: Callable[[bytes],
     typed = typed.withColumn("key", F.when(F.col("chave_valida"), F.col("chave_de_acesso")).otherwise(F.col("arquivo")))
     typed.write.mode("overwrite").parquet(f"{out}/records")
     new = spark.read.parquet(f"{out}/records")
-    rows, before = new.withColumn("version", F.struct(F.lit(2), "arquivo")), None
-    if _exists(spark, f"{out}/store"):
-        before = files.json_store(spark, f"{out}/store")
-        rows = before.select(*new.columns).withColumn("version", F.struct(F.lit(1), "arquivo")).unionByName(rows)
-    sinks.write_json(merge.fill_only(rows).select("key", *[c for c in new.columns if c != "key"]), f"{out}/store")
-    store = files.json_store(spark, f"{out}/store")
-    sinks.write_csv(flatten.to_cells(store), f"{out}/csv")
+    merged = merge_into(new, path, f"{out}/merged", mode)
+    whole = files.json_store(spark, path)
+    sinks.write_csv(flatten.to_cells(whole, columns, with_text), f"{out}/csv")
     sinks.write_report(spark.read.parquet(f"{out}/audit").withColumn("seq", F.col("nr")), f"{out}/report")
     n = new.agg(F.count("*").alias("records"), F.count_if(F.col("status_extracao") == "parcial").alias("partial"), F.count_if(~F.coalesce("chave_valida", F.lit(False))).alias("invalid_keys"), F.coalesce(F.sum(F.size("produtos")), F.lit(0)).alias("items")).first().asDict()
-    return n | {"failed": spark.read.parquet(f"{out}/failures").count(), "stored": store.count()}
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    states = merged.agg(*[F.count_if(F.col("state") == x).alias(x) for x in ("inserted", "updated", "unchanged")]).first().asDict()
+    return n | {"failed": spark.read.parquet(f"{out}/failures").count(), "stored": whole.count()} | states

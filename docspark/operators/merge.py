@@ -68,6 +68,33 @@ def replace(versions: DataFrame, key: str = "key", version: str = "version") ->
     return latest.select(key, *[F.col("v")[c].alias(c) for c in fields])
 
 
+MODES = ("fill", "replace", "only-new")
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, mode: str = "fill", key: str = "key", version: str = "version") -> DataFrame:
+    """One row for each key and what happened to it: ``key``, all fields, ``state``.
+
+    ``fill`` fills up what the existing row lacks, ``replace`` takes the latest incoming row, ``only-new`` leaves existing keys as they
+    are. States: ``inserted``, ``updated``, ``unchanged`` (incoming changed nothing), ``kept`` (nothing incoming). Both tables have the
+    same columns, and existing versions come before incoming ones. Existing rows carry a digest of themselves through the aggregate,
+    so states cost no second join.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    fields = [c for c in existing.columns if c not in (key, version)]
+    digest = F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
+    none = F.lit(None)
+    rows = existing.withColumns({"_was": digest, "_met": none.cast("string")}).unionByName(incoming.select(*existing.columns).withColumns({"_was": none.cast("string"), "_met": F.lit("x")}))
+    if mode == "fill":
+        merged = fill_only(rows, key, version)
+    else:
+        end = F.max_by if mode == "replace" else F.min_by
+        whole = rows.groupBy(key).agg(end(F.struct(*fields), version).alias("v"), F.max("_was").alias("_was"), F.max("_met").alias("_met"))
+        merged = whole.select(key, "_was", "_met", *[F.col("v")[c].alias(c) for c in fields])
+    state = F.when(F.col("_was").isNull(), "inserted").when(F.col("_met").isNull(), "kept").when(F.col("_was") == digest, "unchanged").otherwise("updated")
+    return merged.select(key, *fields, state.alias("state"))
+
+
 def only_new(incoming: DataFrame, existing: DataFrame, key: str = "key") -> DataFrame:
     """Rows whose key doesn't exist yet."""
     return incoming.join(existing.select(key), key, "left_anti")

@@ -52,6 +52,11 @@ def upsert_fill_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.fill_only(tables.versions(spark, sf_dir))
 
 
+def upsert_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = tables.versions(spark, sf_dir)
+    return merge.upsert(both.where("version = 1"), both.where("version = 2"))
+
+
 def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.replace(tables.versions(spark, sf_dir))
 
@@ -97,6 +102,9 @@ ORACLE_SQL = {
         s AS (SELECT *, contains(trim(codigo), ' ') OR contains(trim(unidade), ' ') OR contains(trim(quantidade), ' ') OR contains(trim(valor_total), ' ') OR length(codigo) > 15 OR length(unidade) > 5 AS suspicious FROM c)
         SELECT l_orderkey, l_linenumber, suspicious, suspicious OR {duck.number('quantidade')} IS NULL OR {duck.number('valor_total')} IS NULL AS bad FROM s""",
     "upsert_fill_only": f"""WITH {tables.VERSIONS_SQL} SELECT coalesce(o.key, n.key) AS key, coalesce(nullif(trim(o.status), ''), n.status, o.status) AS status, coalesce(o.priority, n.priority) AS priority, coalesce(o.total, n.total) AS total FROM old o FULL JOIN new n ON o.key = n.key""",
+    "upsert_states": f"""WITH {tables.VERSIONS_SQL}, m AS (SELECT o.key AS had, n.key AS has, coalesce(o.key, n.key) AS key, coalesce(nullif(trim(o.status), ''), n.status, o.status) AS status, coalesce(o.priority, n.priority) AS priority, coalesce(o.total, n.total) AS total,
+            o.status AS s, o.priority AS p, o.total AS t FROM old o FULL JOIN new n ON o.key = n.key)
+        SELECT key, status, priority, total, CASE WHEN had IS NULL THEN 'inserted' WHEN has IS NULL THEN 'kept' WHEN status IS NOT DISTINCT FROM s AND priority IS NOT DISTINCT FROM p AND total IS NOT DISTINCT FROM t THEN 'unchanged' ELSE 'updated' END AS state FROM m""",
     "upsert_replace": f"WITH {tables.VERSIONS_SQL}, u AS (FROM old UNION ALL FROM new) SELECT key, arg_max(version, version) AS version, max_by({{'s': status}}, version).s AS status, max_by({{'p': priority}}, version).p AS priority, max_by({{'t': total}}, version).t AS total FROM u GROUP BY 1",
     "only_new_anti": f"WITH {tables.VERSIONS_SQL} SELECT key, status, priority, total FROM new WHERE key NOT IN (SELECT key FROM old)",
     "change_detect": f"{_CHANGE} SELECT key, state FROM c",
@@ -104,4 +112,4 @@ ORACLE_SQL = {
     "array_positional_merge": """WITH p AS (SELECT l_orderkey, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS k FROM lineitem)
         SELECT l_orderkey, string_agg(CASE WHEN k <= 3 THEN CAST(l_partkey AS VARCHAR) || ':' || CASE WHEN l_partkey % 2 = 0 THEN 'N' ELSE l_returnflag END ELSE CAST(l_partkey AS VARCHAR) || 'n:N' END, ',' ORDER BY k) AS items FROM p GROUP BY 1""",
 }
-QUERIES = {f.__name__: f for f in (nested_path, flatten_items, flatten_outer_empty, column_filter, completeness, suspicious_products, upsert_fill_only, upsert_replace, only_new_anti, change_detect, run_metrics, array_positional_merge)}
+QUERIES = {f.__name__: f for f in (nested_path, flatten_items, flatten_outer_empty, column_filter, completeness, suspicious_products, upsert_fill_only, upsert_states, upsert_replace, only_new_anti, change_detect, run_metrics, array_positional_merge)}

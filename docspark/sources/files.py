@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.operators.flatten import RECORD_SCHEMA
+from docspark.sources import store
 
 TOKEN_SCHEMA = "doc_id string, seq int, page int, x double, y double, conf double, text string"
 
@@ -49,12 +50,17 @@ def tokens_of(files: DataFrame, read: Callable[[bytes], list[tuple[int, float, f
     return both.where("motivo is null").drop("motivo"), both.where("motivo is not null").select("doc_id", "motivo")
 
 
-def json_store(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
+def json_store(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, touched: list[int] | None = None) -> DataFrame:
     """Records of a keyed JSON store (S6, S7); a file that isn't one fails the read.
 
     The store that ``sinks.write_json`` writes has a line ``{"key": ..., "record": {...}}`` for each record and is read in
-    parallel. A single JSON object ``key: record`` is read too, for imports: it is one cell in one task, so it must be small.
+    parallel, or only its buckets ``touched``. A single JSON object ``key: record`` is read too, for imports: it is one cell in one task, so it must be small.
     """
+    state = store.newest(spark, path)
+    if state is not None:
+        path = store.folders(path, state, touched)
+        if not path:
+            return spark.createDataFrame([], f"key string, {schema}")
     first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
     record = f"struct<{_struct(schema)}>"
     if first and re.match(r'\s*\{\s*"(key|record)"\s*:', first[0].value):

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.operators.audit import report
+from docspark.sources import store
 
 BOM = "﻿"
 
@@ -25,19 +24,12 @@ def write_csv(cells: DataFrame, path: str) -> None:
 def write_json(records: DataFrame, path: str, key: str = "key") -> None:
     """Records as JSON lines ``{key, record}`` that ``files.json_store`` reads again (K1, K5).
 
-    The new store is written whole beside the old one and then takes its name, so a job that fails leaves the old one as it was,
-    and a store may be written from its own records.
+    A commit of ``store``: readers see the old records until the new ones stand whole, and a store may be written from its own
+    records.
     """
     fields = [c for c in records.columns if c not in (key, "key")]
-    spark, new = records.sparkSession, f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    records.select(F.col(key).alias("key"), F.struct(*fields).alias("record")).write.json(new)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    store, fresh = hadoop.Path(path), hadoop.Path(new)
-    files = store.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(store):
-        files.delete(store, True)
-    if not files.rename(fresh, store):
-        raise OSError(f"{new} couldn't take the name {path}")
+    lines = records.select(F.col(key).alias("key"), F.struct(*fields).alias("record"))
+    store.commit(lines, path, "key", store.newest(records.sparkSession, path), kind="json")
 
 
 def write_report(audit: DataFrame, path: str) -> None:

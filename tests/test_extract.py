@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 
 from docspark import __main__ as cli
+from docspark.extract import merge_into, unread
+from docspark.operators.flatten import RECORD_SCHEMA
 from docspark.sources import files
 
 ID, OTHER = "12.345.678/0001-95", "98.765.432/0001-10"
@@ -48,3 +50,21 @@ def test_folder_to_store(spark, tmp_path, capsys):
     assert (p.codigo, p.descricao, p.ncm, p.unidade, p.quantidade, p.valor_unitario, p.valor_total) == ("AB12", "calcario moido", "25210000", "TON", 25.0, 50.0, 1250.0)
     b = store["sub/b.pdf"]
     assert (b.chave_valida, b.status_extracao, b.key) == (False, "parcial", "sub/b.pdf")
+
+
+def test_modes(spark, tmp_path):
+    path = str(tmp_path / "store")
+
+    def run(mode, *rows):
+        new = spark.createDataFrame([{"key": k, "arquivo": a, "serie": s} for k, a, s in rows], f"key string, {RECORD_SCHEMA}")
+        merged = {r.key: r.state for r in merge_into(new, path, f"{tmp_path}/merged", mode).collect() if r.state != "kept"}
+        return merged, {r.key: (r.arquivo, r.serie) for r in files.json_store(spark, path).collect()}
+
+    documents = spark.createDataFrame([("a.pdf",), ("b.pdf",), ("c.pdf",)], "doc_id string")
+    assert unread(documents, path).count() == 3
+    assert run("fill", ("k", "a.pdf", None), ("m", "c.pdf", "1")) == ({"k": "inserted", "m": "inserted"}, {"k": ("a.pdf", None), "m": ("c.pdf", "1")})
+    assert [r.doc_id for r in unread(documents, path).collect()] == ["b.pdf"]
+    assert run("only-new", ("k", "b.pdf", "7")) == ({"k": "unchanged"}, {"k": ("a.pdf", None), "m": ("c.pdf", "1")})
+    assert run("fill", ("k", "b.pdf", "7")) == ({"k": "updated"}, {"k": ("a.pdf", "7"), "m": ("c.pdf", "1")})
+    assert run("fill", ("k", "b.pdf", "8"))[0] == {"k": "unchanged"}
+    assert run("replace", ("k", "b.pdf", "8")) == ({"k": "updated"}, {"k": ("b.pdf", "8"), "m": ("c.pdf", "1")})
