@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspark.functions import numbers
+from docspark.staging import stored
 
 
 def audit_cells(cells: DataFrame, fields: list[str]) -> DataFrame:
@@ -33,14 +36,21 @@ def status_matrix(audit: DataFrame) -> DataFrame:
 def anomalies(audit: DataFrame) -> DataFrame:
     """Cells to review, numbered by file and then order.
 
-    Numbers are the place within the file plus what earlier files hold, so no task sorts all anomalies; the
-    running sum is over one row for each file.
+    Numbers are the place within the file plus what earlier files hold. Files stand in range partitions by name: a file's start is what
+    its partition held before it plus what earlier partitions hold, one number for each partition. No task sorts all anomalies
+    or all files.
     """
     found = audit.where(F.col("estado").isin(*numbers.TO_REVIEW))
     inside = found.withColumn("k", F.row_number().over(Window.partitionBy("archivo").orderBy("seq", "nr", "crudo")))
     per_file = found.groupBy("archivo").agg(F.count("*").alias("n"))
-    before = per_file.select("archivo", (F.sum("n").over(Window.orderBy("archivo")) - F.col("n")).alias("before"))
-    return inside.join(before, "archivo").select((F.col("before") + F.col("k")).alias("nr"), "archivo", "seq", "campo", "crudo", "estado")
+    ranged = stored(per_file.repartitionByRange("archivo").withColumn("part", F.spark_partition_id()), "files")
+    held = ranged.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # a row for each range partition
+    starts = itertools.accumulate((r.n for r in held), initial=0)
+    earlier = audit.sparkSession.createDataFrame([(r.part, start) for r, start in zip(held, starts, strict=False)], "part int, earlier bigint")
+    running = F.sum("n").over(Window.partitionBy("part").orderBy("archivo")) - F.col("n")
+    before = ranged.withColumn("running", running).join(F.broadcast(earlier), "part").select(F.col("archivo").alias("_file"), (F.col("running") + F.col("earlier")).alias("before"))
+    placed = inside.join(before, F.col("archivo").eqNullSafe(F.col("_file")))
+    return placed.select((F.col("before") + F.col("k")).alias("nr"), "archivo", "seq", "campo", "crudo", "estado")
 
 
 def type_errors(cells: DataFrame, fields: list[str]) -> DataFrame:

@@ -89,3 +89,14 @@ def test_detail_by_file(spark):
     assert sorted(map(tuple, audit.by_file(judged).collect())) == [("f1", 4, 2, "quantidade 1"), ("f2", 2, 1, "valor_total 1")]
     lines = [r.line for r in audit.report(judged.withColumn("nr", F.col("seq"))).orderBy("part", "nr").collect()]
     assert lines[0].startswith("ok") and "quantidade | no_parseable | 1" in lines and "f2 | 2 | 1 | valor_total 1" in lines
+
+
+def test_anomalies_are_numbered_over_files_without_one_task(spark):
+    cells = [(i, f if f != "f3" else None, 0, "peso_bruto", "x", "no_parseable" if i % 3 else "ok") for i, f in enumerate(f"f{k % 23}" for k in range(400))]
+    shuffled = spark.createDataFrame(cells, "seq int, archivo string, nr int, campo string, crudo string, estado string").repartition(7)
+    numbered = audit.anomalies(shuffled)
+    got = [(r.nr, r.archivo, r.seq) for r in numbered.collect()]
+    kept = sorted(((c[1] is not None, c[1] or ""), c[0]) for c in cells if c[5] != "ok")
+    assert sorted(got) == [(i, f[1] or None, s) for i, (f, s) in enumerate(kept, 1)]
+    assert "SinglePartition" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert audit.anomalies(shuffled.limit(0)).collect() == []
