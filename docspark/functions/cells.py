@@ -19,15 +19,22 @@ def literal_guard(text: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """Whole numbers without decimals, others to 12 significant digits with a decimal comma."""
-    whole = value.cast("decimal(38,0)").cast("string")
+    """Whole numbers below 10^15 without decimals, others to 12 significant digits with a decimal comma.
+
+    Numbers under 0.0001 and, unless whole, from 10^12 are in exponent form (``1,5e-05``). Digits halfway go away from zero.
+    """
+    whole = value.try_cast("decimal(38,0)").cast("string")
+    power = F.format_string("%.11e", value)
+    exponent = F.regexp_extract(power, r"e([+-]\d+)$", 1).try_cast("int")
+    short = F.regexp_replace(power, r"\.?0+e", "e")
     scale = F.lit(12) - F.greatest(F.floor(F.log10(F.abs(value))).cast("int") + 1, F.lit(-6))
-    exact = lambda v: v.cast("decimal(38,18)").cast("string")
+    exact = lambda v: v.try_cast("decimal(38,18)").cast("string")
     rounded = exact(value)
     for digits in range(19):
         rounded = F.when(scale == digits, exact(F.round(value, digits))).otherwise(rounded)
     bare = F.regexp_replace(F.regexp_replace(rounded, r"0+$", ""), r"\.$", "")
-    return F.when((value == F.floor(value)) & (F.abs(value) < 1e15), whole).otherwise(F.replace(bare, F.lit("."), F.lit(",")))
+    printed = F.when((exponent < -4) | (exponent >= 12), short).otherwise(bare)
+    return F.when((value == F.floor(value)) & (F.abs(value) < 1e15), whole).otherwise(F.replace(printed, F.lit("."), F.lit(",")))
 
 
 def cell(value: Column, kind: str) -> Column:

@@ -121,3 +121,10 @@ def test_stream_merge(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     upsert.merge_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert {r.key: r.s for r in upsert.latest(spark, f"{tmp_path}/out").collect()} == {"k": "x", "m": "m"}
+
+
+def test_number_text_of_tiny_and_huge_numbers(spark):
+    values = [0.0, -0.5, 1e-4, 0.00012345678901234, 9.5e-5, 1e-5, -2.5e-9, 3e-300, 123456789012.75, 1234567890123.25, 1e14, 999999999999999.0, 1e15, 1.5e15, -1.23456789012345e20, 1e300, 0.1 + 0.2]
+    python = [str(int(v)) if v == int(v) and abs(v) < 1e15 else f"{v:.12g}".replace(".", ",") for v in values]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", cells.number_text(F.col("v")).alias("t")).collect()
+    assert [r.t for r in sorted(rows)] == python
