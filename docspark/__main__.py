@@ -1,4 +1,4 @@
-"""Command line: ``python -m docspark extract|csv|normalise|validate|summary``."""
+"""Command line: ``python -m docspark extract|csv|normalise|validate|summary|status``."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docspark.extract import extract
 from docspark.operators import flatten, merge, normalise
 from docspark.operators.flatten import RECORD_SCHEMA
-from docspark.sources import files, sinks
+from docspark.sources import documents, files, sinks
 
 MOST_LINES = 1000  # errors that are printed; all are counted
 
@@ -34,10 +34,12 @@ def validate(spark: SparkSession, path: str) -> int:
 
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="docspark", description=__doc__)
-    p.add_argument("action", choices=("extract", "csv", "normalise", "validate", "summary"))
+    p.add_argument("action", choices=("extract", "csv", "normalise", "validate", "summary", "status"))
     p.add_argument("--json", help="keyed JSON store to read")
     p.add_argument("--folder", help="folder of documents to extract")
     p.add_argument("--reader", help="module:function that turns a file's bytes into page, x, y, conf, text rows")
+    p.add_argument("--fallback", help="module:function for files in which the reader finds nothing")
+    p.add_argument("--engine", help="module:function that makes, once a worker, what the fallback gets beside the bytes")
     p.add_argument("--out", help="folder to write to")
     p.add_argument("--columns", help="comma-separated columns; all by default")
     p.add_argument("--with-text", action="store_true", help="add the recognised text as a column")
@@ -47,16 +49,21 @@ def main(args: list[str] | None = None) -> int:
         p.error(f"{o.action} needs --out")
     if o.action == "extract" and not (o.folder and o.reader) or o.action != "extract" and not o.json:
         p.error("extract needs --folder and --reader, the others --json")
+    if o.action == "status" and not o.folder:
+        p.error("status needs --folder and --json")
     spark = SparkSession.builder.appName("docspark").getOrCreate()
     if o.action == "extract":
-        module, name = o.reader.split(":")
-        n = extract(spark, o.folder, o.out, getattr(importlib.import_module(module), name), mode=o.mode, columns=o.columns.split(",") if o.columns else None, with_text=o.with_text)
+        function = lambda named: getattr(importlib.import_module(named.split(":")[0]), named.split(":")[1]) if named else None
+        n = extract(spark, o.folder, o.out, function(o.reader), function(o.fallback), mode=o.mode, columns=o.columns.split(",") if o.columns else None, with_text=o.with_text, engine=function(o.engine))
         print(", ".join(f"{k}: {v}" for k, v in n.items()))
         return 0
     if o.action == "validate":
         return validate(spark, o.json)
     store = files.json_store(spark, o.json)
-    if o.action == "csv":
+    if o.action == "status":
+        n = documents.folder_status(spark, o.folder, store).first()
+        print(", ".join(f"{k}: {v}" for k, v in n.asDict().items()))
+    elif o.action == "csv":
         sinks.write_csv(flatten.to_cells(store, o.columns.split(",") if o.columns else None, o.with_text), o.out)
     elif o.action == "normalise":
         raw = store.withColumns({f: F.col(f).cast("string") for f in normalise.RECORD_FIELDS} | {"produtos": F.transform("produtos", lambda x: F.struct(*[x[f].cast("string").alias(f) for f in (*normalise.TEXT_FIELDS, *normalise.ITEM_FIELDS)]))})

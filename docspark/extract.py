@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.operators import flatten, merge, notes
-from docspark.sources import files, sinks, store
+from docspark.operators import audit as audits, flatten, merge, notes
+from docspark.sources import documents, files, sinks, store
 
 
-def unread(documents: DataFrame, path: str) -> DataFrame:
+def unread(found: DataFrame, path: str) -> DataFrame:
     """Files that no record of the store under ``path`` names."""
-    if store.newest(documents.sparkSession, path) is None:
-        return documents
-    known = files.json_store(documents.sparkSession, path, "arquivo string").select(F.col("arquivo").alias("doc_id"))
-    return documents.join(known, "doc_id", "left_anti")
+    if store.newest(found.sparkSession, path) is None:
+        return found
+    known = files.json_store(found.sparkSession, path, "arquivo string").select(F.col("arquivo").alias("doc_id"))
+    return found.join(known, "doc_id", "left_anti")
 
 
 def merge_into(new: DataFrame, path: str, merged: str, mode: str = "fill") -> DataFrame:
@@ -35,26 +35,24 @@ def merge_into(new: DataFrame, path: str, merged: str, mode: str = "fill") -> Da
 
 
 def extract(
-    spark: SparkSession, folder: str, out: str, read: Callable[[bytes], list | None], fallback: Callable[[bytes], list] | None = None, pattern: str = "*.pdf",
-    mode: str = "fill", columns: list[str] | None = None, with_text: bool = False,
+    spark: SparkSession, folder: str, out: str, read: Callable[[bytes], list | None], fallback: Callable | None = None, pattern: str = "*.pdf",
+    mode: str = "fill", columns: list[str] | None = None, with_text: bool = False, engine: Callable | None = None,
 ) -> dict[str, int]:
     """Read all documents of a folder into the store under ``out`` and count what happened (A1, A2, K6).
 
-    ``read`` and ``fallback`` turn a file's bytes into ``page, x, y, conf, text`` rows. Tokens and failures are written first, as
-    Parquet under ``out``, so files are read once. Records are keyed by their key where it is valid, else by file. ``mode`` is one of
+    ``read``, ``fallback`` and ``engine`` are those of ``documents.Decoder``. Tokens and failures are written first, as one Parquet
+    table under ``out``, so files are decoded once. Records are keyed by their key where it is valid, else by file. ``mode`` is one of
     ``merge.MODES``: what the store has for a key is filled up, replaced, or left as it is; with ``only-new`` files that the store names
     aren't read again. Only the store's buckets that a key falls into are read and written. ``columns`` and ``with_text`` are those of the
-    spreadsheet. Written: ``tokens``, ``failures``, ``sections``, ``raw``, ``audit``, ``records``, ``merged``, ``store``, ``csv``, ``report``.
+    spreadsheet. Written: ``decoded``, ``sections``, ``raw``, ``audit``, ``records``, ``merged``, ``store``, ``csv``, ``report``, ``log``.
     """
     if mode not in merge.MODES:
         raise ValueError(f"mode is one of {', '.join(merge.MODES)}")
-    path, documents = f"{out}/store", files.document_files(spark, folder, pattern)
+    path, found = f"{out}/store", files.document_files(spark, folder, pattern)
     if mode == "only-new":
-        documents = unread(documents, path)
-    found, failed = files.tokens_of(documents, read, fallback)
-    found.write.mode("overwrite").parquet(f"{out}/tokens")
-    failed.write.mode("overwrite").parquet(f"{out}/failures")
-    tokens = spark.read.parquet(f"{out}/tokens")
+        found = unread(found, path)
+    documents.tokens_of(found, documents.Decoder(read, fallback, engine)).write.mode("overwrite").parquet(f"{out}/decoded")
+    tokens, failed = files.split_failures(spark.read.parquet(f"{out}/decoded"))
     notes.sections(tokens).write.mode("overwrite").parquet(f"{out}/sections")
     notes.assemble(tokens, spark.read.parquet(f"{out}/sections")).write.mode("overwrite").parquet(f"{out}/raw")
     typed, audit = notes.finish(spark.read.parquet(f"{out}/raw"))
@@ -66,6 +64,7 @@ def extract(
     whole = files.json_store(spark, path)
     sinks.write_csv(flatten.to_cells(whole, columns, with_text), f"{out}/csv")
     sinks.write_report(spark.read.parquet(f"{out}/audit").withColumn("seq", F.col("nr")), f"{out}/report")
+    audits.extraction_log(new, failed).repartitionByRange("arquivo").sortWithinPartitions("arquivo", "nr").write.mode("overwrite").parquet(f"{out}/log")
     n = new.agg(F.count("*").alias("records"), F.count_if(F.col("status_extracao") == "parcial").alias("partial"), F.count_if(~F.coalesce("chave_valida", F.lit(False))).alias("invalid_keys"), F.coalesce(F.sum(F.size("produtos")), F.lit(0)).alias("items")).first().asDict()
     states = merged.agg(*[F.count_if(F.col("state") == x).alias(x) for x in ("inserted", "updated", "unchanged")]).first().asDict()
-    return n | {"failed": spark.read.parquet(f"{out}/failures").count(), "stored": whole.count()} | states
+    return n | {"failed": failed.count(), "stored": whole.count()} | states

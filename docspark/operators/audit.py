@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspark.functions import numbers
 from docspark.staging import stored
 
+LOGGED_FIELDS = ("valor_da_nota", "peso_bruto", "peso_liquido")
+
 
 def audit_cells(cells: DataFrame, fields: list[str]) -> DataFrame:
     """One row for each text cell: ``seq, archivo, campo, crudo, valor, estado, motivo``.
@@ -74,3 +76,20 @@ def report(audit: DataFrame) -> DataFrame:
     matrix = status_matrix(audit).select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy("campo", "estado")).cast("long").alias("nr"), F.concat_ws(" | ", "campo", "estado", "n").alias("line"))
     files = by_file(audit).select(F.lit(3).alias("part"), F.xxhash64("archivo").alias("nr"), F.concat_ws(" | ", "archivo", "celdas", "bien", "revisar").alias("line"))
     return head.unionByName(matrix).unionByName(body.withColumn("part", F.lit(2))).unionByName(files)
+
+
+def extraction_log(records: DataFrame, failed: DataFrame) -> DataFrame:
+    """What there is to know of each file, as ``arquivo, nr, nivel, mensaje``.
+
+    An error for a file without tokens (``doc_id, motivo``). For a record: its number of items and its status; a warning for each weight
+    or value that wasn't found, for a key that isn't valid and for each item without a description. Null files and null items
+    count like others.
+    """
+    line = lambda level, *message: F.struct(F.lit(level).alias("nivel"), F.concat(*[m if isinstance(m, Column) else F.lit(m) for m in message]).alias("mensaje"))
+    items = F.coalesce("produtos", F.array())
+    known = [line("INFO", "produtos: ", F.size(items).cast("string")), line("INFO", "status: ", F.coalesce("status_extracao", F.lit("")))]
+    missing = [F.when(F.col(c).isNull(), line("WARNING", f"{c}: no encontrado")) for c in LOGGED_FIELDS]
+    key = F.when(~F.coalesce("chave_valida", F.lit(False)), line("WARNING", "chave_de_acesso: no valida"))
+    bare = F.transform(items, lambda p, i: F.when(F.trim(F.coalesce(p["descricao"], F.lit(""))) == "", line("WARNING", "produtos: item ", (i + 1).cast("string"), " sin descripcion")))
+    own = records.select("arquivo", F.posexplode(F.array_compact(F.concat(F.array(*known, *missing, key), bare))).alias("nr", "l")).select("arquivo", "nr", "l.*")
+    return own.unionByName(failed.select(F.col("doc_id").alias("arquivo"), F.lit(0).alias("nr"), F.lit("ERROR").alias("nivel"), F.col("motivo").alias("mensaje")))

@@ -3,51 +3,35 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.operators.flatten import RECORD_SCHEMA
-from docspark.sources import store
-
-TOKEN_SCHEMA = "doc_id string, seq int, page int, x double, y double, conf double, text string"
+from docspark.sources import documents, store
 
 
 def document_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", content: bool = True) -> DataFrame:
     """Files under a folder, at any depth: ``doc_id`` (relative path), ``length``, ``content``."""
+    every = documents.listed(spark, folder, pattern)
+    if not content:
+        return every
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    base = folder.rstrip("/")
-    doc = F.regexp_replace(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), r"^.*?" + "".join(f"\\{c}" if not c.isalnum() else c for c in base) + "/", "")
-    return files.select(doc.alias("doc_id"), "length", *(["content"] if content else []))
+    empty = every.where("length = 0").withColumn("content", F.to_binary(F.lit(""), F.lit("utf-8")))
+    return files.select(documents.relative("path", folder).alias("doc_id"), "length", "content").unionByName(empty)
 
 
-def tokens_of(files: DataFrame, read: Callable[[bytes], list[tuple[int, float, float, float, str]] | None], fallback: Callable[[bytes], list] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Positioned tokens of files and the files that gave none.
+def tokens_of(files: DataFrame, read: Callable, fallback: Callable | None = None, engine: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+    """Positioned tokens of files and the files that gave none (S2 to S5), as ``documents.Decoder`` tells.
 
-    ``read`` and ``fallback`` (embedded text, then recognition) turn bytes into ``page, x, y, conf, text`` rows; they are the
-    caller's, run once a file in the workers, and their errors become rows of the second table.
+    Both tables come from one lazy table, which is decoded for each of them; write ``documents.tokens_of`` and filter it to decode once.
     """
+    return split_failures(documents.tokens_of(files, documents.Decoder(read, fallback, engine)))
+
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc, content in zip(batch["doc_id"], batch["content"], strict=True):
-                found, why = None, "no tokens"
-                for f in (read, fallback):
-                    if f is None or found:
-                        continue
-                    try:
-                        found = f(bytes(content))
-                    except Exception as e:  # a broken file is a result, not a failed job
-                        why = f"{type(e).__name__}: {e}"
-                out += [(doc, i, *t, None) for i, t in enumerate(found)] if found else [(doc, None, None, None, None, None, None, why)]
-            frame = pd.DataFrame(out, columns=["doc_id", "seq", "page", "x", "y", "conf", "text", "motivo"])
-            yield frame.astype({"seq": "Int32", "page": "Int32", "x": "float64", "y": "float64", "conf": "float64"}).astype({"text": object, "motivo": object})
-
-    both = files.select("doc_id", "content").mapInPandas(rows, TOKEN_SCHEMA + ", motivo string")
-    return both.where("motivo is null").drop("motivo"), both.where("motivo is not null").select("doc_id", "motivo")
+def split_failures(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return decoded.where("motivo is null").drop("motivo"), decoded.where("motivo is not null").select("doc_id", "motivo")
 
 
 def json_store(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, touched: list[int] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 
 from docspark import __main__ as cli
 from docspark.extract import merge_into, unread
+from docspark.operators import audit
 from docspark.operators.flatten import RECORD_SCHEMA
 from docspark.sources import files
 
@@ -48,6 +49,14 @@ def test_folder_to_store(spark, tmp_path, capsys):
     assert (a.valor_da_nota, a.peso_bruto, a.peso_liquido, a.status_extracao, a.dados_adicionais) == (1250.0, 36000.0, 35500.0, "completa", "entregar cedo")
     (p,) = a.produtos
     assert (p.codigo, p.descricao, p.ncm, p.unidade, p.quantidade, p.valor_unitario, p.valor_total) == ("AB12", "calcario moido", "25210000", "TON", 25.0, 50.0, 1250.0)
+    log = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/log").orderBy("arquivo", "nr").collect()]
+    assert [x[1:] for x in log if x[0] == "a.pdf"] == [(0, "INFO", "produtos: 1"), (1, "INFO", "status: completa")]
+    lines = [x[3] for x in log if x[0] == "sub/b.pdf"]
+    assert lines == ["produtos: 1", "status: parcial", *[f"{c}: no encontrado" for c in audit.LOGGED_FIELDS if store["sub/b.pdf"][c] is None], "chave_de_acesso: no valida"]
+    assert [x[0] for x in log if x[2] == "ERROR"] == ["c.pdf"] and log[[x[0] for x in log].index("c.pdf")][3].startswith("JSONDecodeError")
+    size = sum(p.stat().st_size for p in (tmp_path / "in").rglob("*.pdf"))
+    assert cli.main(["status", "--folder", f"{tmp_path}/in", "--json", f"{tmp_path}/out/store"]) == 0
+    assert f"files: 3, bytes: {size}, keys: 2" in capsys.readouterr().out
     b = store["sub/b.pdf"]
     assert (b.chave_valida, b.status_extracao, b.key) == (False, "parcial", "sub/b.pdf")
 
