@@ -55,7 +55,7 @@ class Decoder:
                 continue
             try:
                 more = (self._made(),) if step is self.fallback and self.engine else ()
-                found = [(doc, i, int(page), float(x), float(y), float(conf), text, None) for i, (page, x, y, conf, text) in enumerate(step(content(), *more) or ())]
+                found = [(doc, i, int(page), float(x), float(y), None if conf is None else float(conf), text, None) for i, (page, x, y, conf, text) in enumerate(step(content(), *more) or ())]
             except Exception as e:  # a broken file is a result, not a failed job
                 why = f"{type(e).__name__}: {e}"
                 continue

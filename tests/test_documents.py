@@ -70,3 +70,11 @@ def test_stream_and_status(spark, source, folder, tmp_path):
     records = spark.createDataFrame([("k",), ("k",), ("m",)], "key string")
     assert tuple(documents.folder_status(spark, folder, records).first()) == (17, size, 2)
     assert tuple(documents.folder_status(spark, str(tmp_path / "seen")).first()) == (0, 0, 0)
+
+
+def test_rows_of_a_decoder():
+    rows = lambda read, fallback=None: list(documents.Decoder(read, fallback).rows("d", lambda: b"x"))
+    assert rows(lambda c: [(1, 2, 3, None, None)]) == [("d", 0, 1, 2.0, 3.0, None, None, None)]
+    assert rows(lambda c: [(1, 2, 3)])[0][7].startswith("ValueError")
+    assert rows(lambda c: 1 / 0, lambda c: [(1, 0, 0, 1, "t")]) == [("d", 0, 1, 0.0, 0.0, 1.0, "t", None)]
+    assert rows(None) == [("d", None, None, None, None, None, None, "no tokens")]
