@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -42,6 +43,40 @@ def test_pieces_equal_whole_texts(path, drops):
             assert ids[a:b].tolist() == ids_of(path, text)
 
 
+def invented(n, seed, marks=True):
+    """Texts of words that hardly come twice, with marks and line feeds between some."""
+    rng, syllables = np.random.default_rng(seed), ["the", "on", "er", "é", "ção", "zu", "ing", "St", "ou", "ä", "nt", "Wh"]
+    words = ["".join(syllables[k] for k in row) for row in rng.integers(0, len(syllables), (n, 6))]
+    ends = ["", "", "", ",", ".", "%%%", ".\nThis", "|\nUnd,"] if marks else [""]
+    words = [w + ends[k] for w, k in zip(words, rng.integers(0, len(ends), n), strict=True)]
+    return pa.array([" ".join(words[k : k + 200]) for k in range(0, n, 200)])
+
+
+@pytest.mark.parametrize(("path", "drops"), [(BYTE, False), (WORD, True)])
+def test_kept_words_take_few_bytes(path, drops):
+    encoder = tokenizing.PieceEncoder(path, drops)
+    encoder.encode(invented(1000, 0))
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+    for seed in range(1, 6):
+        encoder.encode(invented(20_000, seed, marks=False))
+    kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert kept < 90 * 100_000
+
+
+@pytest.mark.parametrize(("path", "drops"), [(BYTE, False), (WORD, True)])
+def test_table_of_words_turns(path, drops):
+    encoder = tokenizing.PieceEncoder(path, drops, memo_limit=700)
+    latin = "".join(chr(k) for k in range(33, 256))
+    for seed in range(8):
+        texts = pa.concat_arrays([invented(600, seed % 3), pa.array([f"x {latin} y", " ".join(latin), " ".join(f"a{c}A{c}" for c in latin), "x" * 70 + " x" + "Y" * 64])])
+        ids, at = encoder.encode(texts.cast(pa.large_string()) if seed == 7 else texts)
+        for text, a, b in zip(texts.to_pylist(), at, at[1:], strict=False):
+            assert ids[a:b].tolist() == ids_of(path, text)
+    assert len(encoder.words.names) <= 700 + 1300
+
+
 def test_counts(corpus, empty):
     got = sorted((r.doc_id is None, r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(corpus, BYTE).collect())
     want = sorted((d is None, d, len(t.encode()), len(ids_of(BYTE, t)), len(ids_of(BYTE, t)) > 1024) for d, t in rows_of(corpus))
