@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import time
 import tracemalloc
 import zlib
 
@@ -77,6 +78,25 @@ def test_table_of_words_turns(path, drops):
     assert len(encoder.words.names) <= 700 + 1300
 
 
+def share_of_library(path, drops):
+    """CPU time of words that hardly come twice as a share of the library's own for the same texts, the least of three batches."""
+    encoder, shares = tokenizing.PieceEncoder(path, drops), []
+    encoder.encode(invented(1000, 0))
+    for seed in range(1, 4):
+        texts = invented(40_000, seed)
+        began = time.process_time()
+        encoder.encode(texts)
+        own = time.process_time() - began
+        for text in texts.to_pylist():
+            ids_of(path, text)
+        shares.append(own / (time.process_time() - began - own))
+    return min(shares)
+
+
+def test_packing_encodes_new_words_faster_than_the_library():
+    assert share_of_library(BYTE, False) < 0.9
+
+
 def test_counts(corpus, empty):
     got = sorted((r.doc_id is None, r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(corpus, BYTE).collect())
     want = sorted((d is None, d, len(t.encode()), len(ids_of(BYTE, t)), len(ids_of(BYTE, t)) > 1024) for d, t in rows_of(corpus))
