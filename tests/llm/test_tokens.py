@@ -97,6 +97,10 @@ def test_packing_encodes_new_words_faster_than_the_library():
     assert share_of_library(BYTE, False) < 0.9
 
 
+def test_token_files_encode_new_words_faster_than_the_library():
+    assert share_of_library(WORD, True) < 0.9
+
+
 def test_counts(corpus, empty):
     got = sorted((r.doc_id is None, r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(corpus, BYTE).collect())
     want = sorted((d is None, d, len(t.encode()), len(ids_of(BYTE, t)), len(ids_of(BYTE, t)) > 1024) for d, t in rows_of(corpus))
