@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from docspark import staging
 from docspark.llm import components, decontaminate, exact_dedup, jaccard_join, shingles
 
 
@@ -99,6 +102,29 @@ def test_join_on_near_copies(spark, monkeypatch):
         assert got == want
 
 
+def test_copies_in_many_tasks_make_no_column_shared(spark, monkeypatch):
+    held, write = {}, jaccard_join.common.stored
+
+    def counted(df, name):
+        out = write(df, name)
+        held[name] = out.where("token is not null").count() if name == "columns" else 0
+        return out
+
+    monkeypatch.setattr(jaccard_join.common, "stored", counted)
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(10)]
+    docs = spark.createDataFrame([(i, texts[i % 10]) for i in range(80)], "doc_id long, text string").repartition(8)
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()) == [(i, i % 10) for i in range(80)]
+    assert held["columns"] == 0
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    kept = lambda: {str(f) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for f in Path(d.getPath()).rglob("shuffle_*.data")}
+    before = kept()
+    table = spark.range(10_000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    assert sorted(r["count"] for r in staging.stored(table, "counts").collect()) == [1428] * 3 + [1429] * 4
+    assert not kept() - before
+
+
 def test_join_on_odd_rows(spark, corpus, empty):
     docs = corpus.where("doc_id IS NOT NULL")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect())
