@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +131,35 @@ def test_number_text_of_tiny_and_huge_numbers(spark):
     python = [str(int(v)) if v == int(v) and abs(v) < 1e15 else f"{v:.12g}".replace(".", ",") for v in values]
     rows = spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", cells.number_text(F.col("v")).alias("t")).collect()
     assert [r.t for r in sorted(rows)] == python
+
+
+def brute_repair(digits, issuers):
+    """The first single substitution, by window, place and digit, that is valid and names an issuer."""
+    valid = lambda k: (11 - sum(int(c) * (i % 8 + 2) for i, c in enumerate(reversed(k[:43]))) % 11) % 11 % 10 == int(k[43])
+    for at in range(len(digits) - 43):
+        w = digits[at : at + 44]
+        for j in range(44):
+            for d in "0123456789":
+                c = w[:j] + d + w[j + 1 :]
+                if d != w[j] and valid(c) and (not issuers or c[6:20] in issuers):
+                    return c
+
+
+def test_repair_by_brute_force(spark):
+    r = random.Random(7)
+    rows = []
+    for n in range(600):
+        digits = "".join(r.choice("0123456789") for _ in range(44 + n % 4))
+        wrong = digits[6:10] + str((int(digits[10]) + 1) % 10) + digits[11:20]
+        rows.append((digits, [None, [], [digits[7:21], digits[6:20]], [wrong], ["0" * 14]][n % 5]))
+    found = spark.createDataFrame(rows, "d string, i array<string>").select("d", "i", checksum.repair(F.col("d"), F.col("i")).alias("r")).collect()
+    assert [r.r for r in found] == [brute_repair(r.d, r.i) for r in found]
+    assert len({r.r is None for r in found}) == 2
+
+
+def test_repair_takes_no_change_at_a_time(spark):
+    """30,000 keys in one task; 440 tries for each took longer."""
+    keys = spark.range(0, 30_000, 1, 1).select(F.rpad(F.sha2(F.col("id").cast("string"), 256).substr(1, 44), 44, "0").alias("h")).select(F.translate("h", "abcdef", "012345").alias("d"))
+    began = time.time()
+    keys.select(checksum.repair(F.col("d"), F.array(F.substring("d", 7, 14)), "strict").alias("r")).write.format("noop").mode("overwrite").save()
+    assert time.time() - began < 10
