@@ -37,14 +37,14 @@ def key_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def key_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One digit of the order number is raised; the issuer is known, so strict repair applies."""
-    k = _keys(spark, sf_dir)
+    k = tables.dealt(_keys(spark, sf_dir), "o_orderkey")
     wrong = F.concat(F.substring("key", 1, 30), ((F.substring("key", 31, 1).cast("int") + 1) % 10).cast("string"), F.substring("key", 32, 13))
     return k.select("o_orderkey", checksum.repair(wrong, F.array("cnpj"), "strict").alias("repaired"))
 
 
 def key_from_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as documents: a labelled key, one without a label, one misread beside its issuer, one misread beside another."""
-    k = _keys(spark, sf_dir).withColumn("kind", F.col("o_orderkey") % 4)
+    k = tables.dealt(_keys(spark, sf_dir), "o_orderkey").withColumn("kind", F.col("o_orderkey") % 4)
     wrong = F.concat(F.substring("key", 1, 30), ((F.substring("key", 31, 1).cast("int") + 1) % 10).cast("string"), F.substring("key", 32, 13))
     shown = F.when(F.col("kind") >= 2, wrong).otherwise(F.col("key"))
     named = F.when(F.col("kind") == 3, F.lit("99999999000199")).otherwise(F.col("cnpj"))

@@ -13,9 +13,15 @@ CODE = r"AB-?\d+"  # the codes of ``_table``: any part key
 FIELDS = (records.Field("first", ("click",), r"\d+,\d{2}"), records.Field("second", ("purchase",), r"\d+,\d{2}", 60.0, y_max=2000.0))
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each order and line number, dealt by order."""
+    li = tables.dealt(tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), "l_orderkey")
+    return li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"), F.min("l_quantity").alias("q"))
+
+
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items printed as rows of cells, each with a line of words below."""
-    li = tables.read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"), F.min("l_quantity").alias("q"))
+    li = _items(spark, sf_dir)
     price = (F.col("k") % 90 + 10) * 1.25
     cells = [(10, F.concat(F.lit("AB"), (F.col("k") % 900 + 100).cast("string"))), (100, F.lit("31042090|5102TN")), (400, F.concat(F.col("q").cast("bigint").cast("string"), F.lit(",0000"))), (500, tables.brazilian(price)), (600, tables.brazilian(F.col("q") * price))]
     row = [F.struct(F.lit(float(x)).alias("x"), (F.col("l_linenumber") * 100.0).alias("y"), F.lit(i).alias("i"), c.alias("text")) for i, (x, c) in enumerate(cells)]
@@ -31,7 +37,7 @@ def content_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of ``_tokens`` with single-cell columns, a header above and no line of words that opens a product."""
-    li = tables.read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"), F.min("l_quantity").alias("q"))
+    li = _items(spark, sf_dir)
     heads = [("COD. PRODUTO", 100.0), ("DESCRICAO DO PRODUTO", 500.0), ("NCM/SH", 900.0), ("QTDE", 1300.0)]
     n = F.col("l_linenumber")
     cells = [(110.0, F.concat(F.lit("AB"), F.col("k").cast("string"))), (480.0, F.concat(F.lit("adubo "), n.cast("string"))), (905.0, F.lit("31042090")), (1290.0, F.concat(F.col("q").cast("bigint").cast("string"), F.lit(",0000")))]
@@ -53,7 +59,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     Words that are no labels stand in the header row, and in three ways a row with a code label stands above. The first product may
     have its code below; every third one has a remark with a second price beside, and a line after it that belongs to nothing.
     """
-    li = tables.read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"), F.min("l_quantity").alias("q"))
+    li = _items(spark, sf_dir)
     li = li.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")))
     n, kind, late, third = F.col("n"), F.col("l_orderkey") % 4, (F.col("n") == 1) & (F.col("k") % 2 == 1), F.col("n") % 3 == 0
     code = F.concat(F.lit("AB"), (F.col("k") % 900 + 100).cast("string"))
